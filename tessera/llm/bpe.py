@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, text_of
 
 CACHE_WORDS = 300_000
+#: Characters outside these ranges are newer in some libraries' Unicode tables than in others'; texts with one are split by the tokenizers library's own rules.
+SETTLED = regex.compile(r"[\x00-\u0557\u0900-\u0bff\u1e00-\u208e\u20a0-\u9fff\uac00-\ud7ff\ufe00-\ufffc]*+")
 BATCH_WORDS = 20_000
 
 
@@ -61,6 +63,10 @@ class WordBPE:
         self.space = regex.compile(r"\p{White_Space}+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.cache: dict[str, bytes] = {}
+        self.byte = {c: i for i, c in enumerate(symbols)}
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
 
     def merge_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word, by rounds over one flat array of symbols."""
@@ -105,12 +111,18 @@ class WordBPE:
     def split(self, text: str) -> list[str | int]:
         """Words of the normalised text, special tokens as ids between them."""
         if not self.special.search(text):
-            return self.words.findall(self.normal(text))
+            return self.pieces(text)
         found: list[str | int] = []
         for part in self.special.split(text):
-            found += [self.specials[part]] if part in self.specials else self.words.findall(self.normal(part))
+            found += [self.specials[part]] if part in self.specials else self.pieces(part)
         return found
 
+    def pieces(self, text: str) -> list[str]:
+        if SETTLED.fullmatch(text):
+            return self.words.findall(self.normal(text))
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte[c] for c in w).decode() for w, _ in found]
+
     def normal(self, text: str) -> str:
         if text.isascii():
             return self.space.sub(" ", text).lower()

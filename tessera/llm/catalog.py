@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe_encoding
+from tessera.llm.fingerprints import op10_fingerprints
 from tessera.llm.packing import op1_packing
+from tessera.llm.pii import op9_pii
+from tessera.llm.quality import op7_quality_rules
+from tessera.llm.secrets import op2_secret_scan
 
 QUERIES: dict = {
     "op1_packing": op1_packing,
+    "op2_secret_scan": op2_secret_scan,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe_encoding": op8_bpe_encoding,
+    "op9_pii": op9_pii,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict = {}

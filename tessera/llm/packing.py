@@ -12,25 +12,28 @@ one; an empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import json
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import byte_symbols
 from tessera.llm.common import checkpointed, table, text_of
 
-CACHE_WORDS = 300_000
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters are split here and only new words go to the library; others go to it whole.
-PLAIN = regex.compile(r"[\t-\r\x20-ȳ‐-‧‰-⁞€]*+")
 
 
 class Ids:
-    """The tokenizers library behind a cache of words."""
+    """Ids of a byte-level vocabulary file.
+
+    Where the file's merges stand in the order of their products' ids, merging by ids is merging by
+    ranks and the faster library gives the same ids; other files, and texts that hold a special
+    token's string, go to the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,20 +42,30 @@ class Ids:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = regex.compile(PATTERN)
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = self.by_ranks(spec)
+
+    @staticmethod
+    def by_ranks(spec: dict):
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        products = [model["vocab"].get(a + b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        plain = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        if not plain or model.get("ignore_merges") or model.get("end_of_word_suffix") or None in products or any(x >= y for x, y in zip(products, products[1:])):
+            return None
+        import tiktoken
+
+        byte = {c: i for i, c in enumerate(byte_symbols())}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token)}
+        if len(ranks) != 256 + len(products):
+            return None
+        return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def blob(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+        if self.fast is None or any(s in text for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        words = self.words.findall(text)
-        if new := list({w for w in words if w not in self.cache}):
-            if len(self.cache) > CACHE_WORDS:
-                self.cache, new = {}, list(set(words))
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.cache.__getitem__, words))
+        return self.fast.encode_to_numpy(text).astype(self.kind).tobytes()
 
 
 @functools.lru_cache(maxsize=2)

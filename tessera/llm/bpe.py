@@ -1,8 +1,8 @@
 """Operator 8: byte-pair encoding and decoding by batched numpy merge rounds.
 
 The distinct words of a batch of texts are encoded together. Their symbols stand in one flat
-array; in each round every word's lowest-rank pair is found by binary search over the sorted
-pair keys, and all its occurrences are merged. Words seen before come from a bounded cache.
+array; pairs' ranks come by binary search over the sorted pair keys, and each round merges all
+occurrences of every word's lowest-rank pair. What was met before comes from a bounded cache.
 
 Defined cases: a null or empty text has no ids; a string of a special token inside a text is
 that token, as in the tokenizers library; ids outside the vocabulary decode to nothing.
@@ -11,6 +11,7 @@ that token, as in the tokenizers library; ids outside the vocabulary decode to n
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-CACHE_WORDS = 300_000
+#: Of each of two generations; a chunk that isn't met again is dropped.
+CACHE_CHUNKS = 400_000
 #: Characters outside these ranges are newer in some libraries' Unicode tables than in others'; texts with one are split by the tokenizers library's own rules.
 SETTLED = regex.compile(r"[\x00-\u0557\u0900-\u0bff\u1e00-\u208e\u20a0-\u9fff\uac00-\ud7ff\ufe00-\ufffc]*+")
 BATCH_WORDS = 20_000
@@ -60,16 +62,25 @@ class WordBPE:
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
-        self.space = regex.compile(r"\p{White_Space}+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
-        self.cache: dict[str, bytes] = {}
+        self.product = np.zeros(len(self.ranks), np.int64)
+        self.product[self.ranks] = self.merged
+        self.old: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.control = regex.compile(r"[\x1c-\x1f]")
         self.byte = {c: i for i, c in enumerate(symbols)}
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
 
-    def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word, by rounds over one flat array of symbols."""
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of pairs where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.keys))
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian int32, by rounds over one flat array of symbols."""
         raw = [w.encode() for w in words]
         lengths = np.array([len(x) for x in raw])
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -77,70 +88,82 @@ class WordBPE:
         symbol = self.inner[flat]
         ends = np.cumsum(lengths) - 1
         symbol[ends] = self.last[flat[ends]]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.keys)
+        rank = np.full(len(symbol), none, np.int64)
+        rank[:-1] = self.pair_ranks(symbol[:-1], symbol[1:])
+        rank[ends] = none
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            rank = np.full(len(symbol), none, np.int64)
-            key = symbol[:-1] * self.size + symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            hit = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.ranks[at[hit]]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             low = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(word)]))
-            ended = low == none
-            if ended.any():  # words without a pair to merge leave
-                done.append((word[ended], symbol[ended]))
-                word, symbol, rank, low = word[~ended], symbol[~ended], rank[~ended], low[~ended]
-            if not len(symbol):
-                break
+            going = low < none
+            if not going.all():  # words without a pair to merge leave
+                done.append((word[~going], symbol[~going]))
+                word, symbol, rank, low = word[going], symbol[going], rank[going], low[going]
+                if not len(symbol):
+                    break
             place = np.flatnonzero(rank == low)
             run = np.flatnonzero(np.r_[True, np.diff(place) != 1])  # a pair like (x, x) overlaps itself: every other one of a run
             first = np.repeat(place[run], np.diff(np.r_[run, len(place)]))
             place = place[(place - first) % 2 == 0]
-            key = symbol[place] * self.size + symbol[place + 1]
-            symbol[place] = self.merged[np.searchsorted(self.keys, key)]
+            symbol[place] = self.product[rank[place]]
             keep = np.ones(len(symbol), bool)
             keep[place + 1] = False
-            word, symbol = word[keep], symbol[keep]
-        words_done = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
+            at = np.cumsum(keep)[place] - 1
+            word, symbol, rank = word[keep], symbol[keep], rank[keep]
+            changed = np.r_[at, at[at > 0] - 1]  # only pairs beside a merge have a new rank
+            after = np.minimum(changed + 1, len(word) - 1)
+            same = (word[changed] == word[after]) & (changed < after)
+            rank[changed] = np.where(same, self.pair_ranks(symbol[changed], symbol[after]), none)
+        of = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
         ids = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
-        order = np.argsort(words_done, kind="stable")
-        cuts = np.cumsum(np.bincount(words_done, minlength=len(raw)))[:-1]
-        return np.split(ids[order].astype(np.int32), cuts)
-
-    def split(self, text: str) -> list[str | int]:
-        """Words of the normalised text, special tokens as ids between them."""
-        if not self.special.search(text):
-            return self.pieces(text)
-        found: list[str | int] = []
-        for part in self.special.split(text):
-            found += [self.specials[part]] if part in self.specials else self.pieces(part)
-        return found
+        blob = ids[np.argsort(of, kind="stable")].astype("<i4").tobytes()
+        cuts = np.r_[0, 4 * np.cumsum(np.bincount(of, minlength=len(raw)))].tolist()
+        return [blob[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def pieces(self, text: str) -> list[str]:
+        """The words of a normalised text without white space, or of any text with unsettled characters."""
         if SETTLED.fullmatch(text):
-            return self.words.findall(self.normal(text))
+            return self.words.findall(text)
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.byte[c] for c in w).decode() for w, _ in found]
 
-    def normal(self, text: str) -> str:
+    def chunks(self, text: str) -> list[str]:
+        """What can be encoded alone: runs between white space, which no word spans. Unsettled or unusual texts are one chunk."""
         if text.isascii():
-            return self.space.sub(" ", text).lower()
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # character by character: no final sigma
+            return text.lower().split() if not self.control.search(text) else self.words.findall(text.lower())
+        if not SETTLED.fullmatch(text):
+            return [text]
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # character by character: no final sigma
+        return text.split() if not self.control.search(text) else self.words.findall(text)
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, chunks))
+        if None not in found:
+            return found
+        missing = {c for c, x in zip(chunks, found) if x is None}
+        self.young |= {c: self.old[c] for c in missing if c in self.old}
+        if new := [c for c in missing if c not in self.young]:
+            words = [self.pieces(c) for c in new]
+            different = list({w for x in words for w in x})
+            ids: dict[str, bytes] = {}
+            for i in range(0, len(different), BATCH_WORDS):
+                part = different[i : i + BATCH_WORDS]
+                ids |= zip(part, self.merge_words(part), strict=True)
+            self.young |= {c: b"".join(map(ids.__getitem__, x)) for c, x in zip(new, words, strict=True)}
+        return list(map(self.young.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
-        split = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = list({w for words in split for w in words if w not in self.cache})
-        fresh = [w for w in new if isinstance(w, str)]
-        self.cache |= {w: np.array([w], "<i4").tobytes() for w in new if isinstance(w, int)}
-        for i in range(0, len(fresh), BATCH_WORDS):
-            part = fresh[i : i + BATCH_WORDS]
-            self.cache |= zip(part, (x.astype("<i4").tobytes() for x in self.merge_words(part)), strict=True)
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        parts = [[t] if not self.special.search(t) else self.special.split(t) for t in texts]
+        chunks = [[[p] if i % 2 else self.chunks(p) for i, p in enumerate(ps)] for ps in parts]
+        fixed = {s: np.array([i], "<i4").tobytes() for s, i in self.specials.items()}
+        flat = [c for ps in chunks for i, cs in enumerate(ps) if i % 2 == 0 for c in cs]
+        ids = iter(self.ids_of(flat))
+        out = [b"".join(b"".join(itertools.islice(ids, len(cs))) if i % 2 == 0 else fixed[cs[0]] for i, cs in enumerate(ps)) for ps in chunks]
+        if len(self.young) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        return out
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by a space, as the library does without a decoder."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe_encoding
+from tessera.llm.dedup import op6_suffix_dedup
 from tessera.llm.fingerprints import op10_fingerprints
 from tessera.llm.packing import op1_packing
 from tessera.llm.pii import op9_pii
@@ -12,6 +13,7 @@ from tessera.llm.secrets import op2_secret_scan
 QUERIES: dict = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_pii": op9_pii,

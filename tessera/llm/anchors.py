@@ -17,16 +17,20 @@ PLACE_BITS = 23
 PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
 
 
-@functools.lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of an odd base and its inverse, modulo 2^64, and a random word for each byte."""
+@functools.lru_cache(maxsize=2)
+def powers(bits: int = 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """2^bits powers of an odd base and of its inverse, modulo 2^64, and a random word for each byte."""
     base = 0x9E3779B97F4A7C15
-    n = 2 * PIECE + 4096
+    n = 1 << bits
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down), np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
 
+def powers_for(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return powers(max(22, int(n).bit_length()))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,7 +40,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    up, _, word = powers()
+    up, _, word = powers_for(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(word[data] * up[: len(data)], out=out[1:])
     return out
@@ -44,7 +48,7 @@ def prefix(data: np.ndarray) -> np.ndarray:
 
 def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hashes of data[start:end], the same wherever the bytes stand."""
-    return mix((sums[end] - sums[start]) * powers()[1][start])
+    return mix((sums[end] - sums[start]) * powers_for(len(sums))[1][start])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -21,10 +21,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Ids and partition numbers in the rows stay what they are when an executor is lost. Only
     where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder is used.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that driver and executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def text_of(column: str | Column) -> Column:

@@ -138,6 +138,22 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, keep
     return both.mapInPandas(run, schema)
 
 
+def without_repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """df with its texts as they are left; characters of which only a part is left go too."""
+    names = df.columns
+    found = remove_repeats(df, text, window, [c for c in names if c != text])
+
+    def readable(frames):
+        for frame in frames:
+            left = [b.decode("utf-8", "ignore") for b in frame["kept"]]
+            frame = frame[names].copy()
+            frame[text] = left
+            yield frame
+
+    columns = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return found.select(*(F.col(f"`{c}`") for c in names if c != text), F.lit(None).cast("string").alias(text), "kept").select(*names, "kept").mapInPandas(readable, columns)
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages of 200 bytes or more."""
     found = remove_repeats(table(spark, sf_dir, "documents"))

@@ -146,7 +146,7 @@ def placed(texts: pd.DataFrame, answers: pd.DataFrame, doc: str, percent: int) -
     values, levels = values[by], levels[by]
     seen: set[int] = set()
     rows = []
-    for d, s in zip(texts["_doc"], shingle_sets(texts["_bytes"].tolist()), strict=True):
+    for d, k, s in zip(texts["_doc"], texts["_key"], shingle_sets(texts["_bytes"].tolist()), strict=True):
         key, tokens, whole = set_key(s) if len(s) else None, None, None
         if key is not None and key not in seen and len(values):
             seen.add(key)
@@ -157,8 +157,8 @@ def placed(texts: pd.DataFrame, answers: pd.DataFrame, doc: str, percent: int) -
             if rest > 0:
                 few = s[shared][np.lexsort((short[shared], levels[at[shared]]))[:rest]]
                 tokens, whole = few.astype("<u8").tobytes(), s.astype("<u8").tobytes()
-        rows.append((d, len(s), key, tokens, whole))
-    return pd.DataFrame(rows, columns=[doc, "n_shingles", "_set", "_prefix", "_shingles"]).astype({"_set": "Int64"})
+        rows.append((d, k, len(s), key, tokens, whole))
+    return pd.DataFrame(rows, columns=[doc, "_key", "n_shingles", "_set", "_prefix", "_shingles"]).astype({"_set": "Int64"})
 
 
 def order_by_size(sets: list[np.ndarray]) -> list[int]:
@@ -242,16 +242,16 @@ def neighbourhoods(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """A row for each text: doc, n_shingles, component_id (the smallest doc reachable by links)."""
+    """A row for each text: doc, n_shingles, component_id (the smallest doc reachable by links), _key (the text's hash)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[doc].dataType.simpleString()
     t = text_of(text)
     # equal texts go to one chunk; chunks and ranges follow the session's partitions, which follow the data
-    chunked = df.select(F.col(doc).alias("_doc"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(t), F.lit(parts)).cast("int").alias("_chunk"))
+    chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(t), F.lit(parts)).cast("int").alias("_chunk"))
     requests = chunked.groupBy("_chunk").applyInPandas(lambda x: asked(x, parts), "_chunk int, _range int, _hashes binary, _counts binary")
     answers = requests.groupBy("_range").applyInPandas(answered, "_chunk int, _shared binary, _levels binary")
     both = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
-    sets = checkpointed(both.applyInPandas(lambda x, y: placed(x, y, doc, percent), f"`{doc}` {kind}, n_shingles long, _set long, _prefix binary, _shingles binary"))
+    sets = checkpointed(both.applyInPandas(lambda x, y: placed(x, y, doc, percent), f"`{doc}` {kind}, _key long, n_shingles long, _set long, _prefix binary, _shingles binary"))
 
     candidates = sets.where("_prefix is not null")
 
@@ -280,9 +280,24 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     named = firsts.join(classes, firsts["_set"] == classes["node"], "left").select("_set", "_least", F.coalesce("component", "_set").alias("_class"))
     smallest = named.groupBy("_class").agg(F.min("_least").alias("component_id"))
     of_set = named.join(smallest, "_class").select("_set", "component_id")
-    return sets.select(doc, "n_shingles", "_set").join(of_set, "_set", "left").select(doc, "n_shingles", F.coalesce("component_id", F.col(doc)).alias("component_id"))
+    return sets.select(doc, "n_shingles", "_set", "_key").join(of_set, "_set", "left").select(doc, "n_shingles", F.coalesce("component_id", F.col(doc)).alias("component_id"), "_key")
+
+
+def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """df with one row of each component: that of the smallest id, and of several with that id the smallest text hash. Texts without words all stay."""
+    found = checkpointed(join_components(df, doc, text, percent))
+    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(doc).isNull().alias("null"), F.col(doc).alias("d"), F.col("_key").alias("k"))).alias("m")).select("m.d", "m.k")
+    chosen = chosen.unionByName(found.where("n_shingles = 0").select(F.col(doc).alias("d"), F.col("_key").alias("k")).distinct())
+    keyed = df.withColumn("_text_key", F.xxhash64(text_of(text)))
+    kept = keyed.join(chosen, keyed[doc].eqNullSafe(chosen["d"]) & (keyed["_text_key"] == chosen["k"]), "left_semi")
+    if found.where("n_shingles > 0").groupBy(doc, "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        # a row that is there several times is linked with itself; rows without words aren't
+        words = keyed.columns
+        kept = kept.withColumn("_blank", ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        kept = kept.where("not _blank").dropDuplicates([doc, "_text_key"]).unionByName(kept.where("_blank")).select(*words)
+    return kept.drop("_text_key")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document's set size and component."""
-    return join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_key")

@@ -177,12 +177,10 @@ def learn(counts: list[tuple[tuple[int, ...], tuple[str, ...], int]]) -> tuple[f
     return math.log((yes + 1) / (no + 1)), {f: math.log((w[1] + 1) / (yes + 2)) - math.log((w[0] + 1) / (no + 2)) for f, w in weights.items()}, reliability
 
 
-def detect(df: DataFrame, doc: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns doc, text and keep with spans: array of struct<start, order, kind, end, base>."""
-    kept = [doc, *(keep or [])]
-    read = checkpointed(df.select(*(F.col(c) for c in kept), text_of(text).alias("_text")).select(*(F.col(c) for c in kept), candidates(F.col("_text")).alias("_found")))
+def chooser(found: DataFrame, spans: str):
+    """From a column of candidates: the function that keeps of a row's candidates the base ones and those that the trained classifier takes."""
     # at most 3^labelers times the features' combinations of rows, whatever the corpus
-    counts = read.select(F.explode("_found").alias("s")).groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = found.select(F.explode(spans).alias("s")).groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")).collect()
     bias, weights, _ = learn(sorted((tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in counts))
     table_of = F.create_map(*(F.lit(x) for pair in sorted(weights.items()) for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
 
@@ -190,8 +188,36 @@ def detect(df: DataFrame, doc: str = "doc_id", text: str = "text", keep: list[st
         named = F.concat(s["features"], F.transform(s["votes"], lambda v, i: F.concat(F.lit("vote"), i.cast("string"), F.lit(":"), v.cast("string"))))
         return F.aggregate(named, F.lit(bias), lambda total, f: total + F.coalesce(F.try_element_at(table_of, f), F.lit(0.0)))
 
-    chosen = F.filter("_found", lambda s: s["base"] | (score(s) > 0))
-    return read.select(*(F.col(c) for c in kept), F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
+    def choose(candidates_: Column) -> Column:
+        taken = F.filter(candidates_, lambda s: s["base"] | (score(s) > 0))
+        return F.transform(taken, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
+
+    return choose
+
+
+def detect(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each text: doc and spans, array of struct<start, order, kind, end, base>."""
+    read = checkpointed(df.select(F.col(doc), text_of(text).alias("_text")).select(doc, candidates(F.col("_text")).alias("_found")))
+    return read.select(doc, chooser(read, "_found")(F.col("_found")).alias("spans"))
+
+
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each span of its texts replaced by its kind in brackets; texts without spans are as they were."""
+    t = text_of(text)
+    choose = chooser(df.select(candidates(t).alias("_found")), "_found")
+
+    def masked(spans: Column) -> Column:
+        def step(done: Column, s: Column) -> Column:
+            fresh = F.concat(F.substring(t, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(
+                F.greatest(done["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= done["at"], F.concat(done["parts"], F.array(fresh))).otherwise(done["parts"]).alias("parts"),  # a span that overlaps the one before is part of its mask
+            )
+
+        none = F.array().cast("array<string>")
+        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("parts")), step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(t, done["at"] + 1, F.char_length(t))))
+
+    return df.withColumn(text, F.transform(F.array(choose(candidates(t))), lambda spans: F.when(F.size(spans) > 0, masked(spans)).otherwise(F.col(text)))[0])
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -134,6 +134,11 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataF
     return df.withColumn("rejected_by", once(words(text_of(text)), lambda w: rejected_by(text_of(text), w, order)))
 
 
+def keep_good(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
+    """The rows of df that no rule rejects."""
+    return judge(df, text, rules).where("rejected_by is null").drop("rejected_by")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Quality measures and the verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

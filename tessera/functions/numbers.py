@@ -373,6 +373,14 @@ class Real:
 SIGN = -(2**63)
 
 
+def two_to_64() -> Column:
+    return F.lit(str(2**64)).cast("decimal(38,0)")
+
+
+def two_to_63() -> Column:
+    return F.lit(str(2**63)).cast("decimal(38,0)")
+
+
 class Word:
     """64 unsigned bits; arithmetic wraps."""
 
@@ -388,14 +396,14 @@ class Word:
     def wide(x) -> Column:
         """The unsigned value."""
         x = Word.of(x).cast("decimal(38,0)")
-        return F.when(x < 0, x + F.lit(2**64).cast("decimal(38,0)")).otherwise(x)
+        return F.when(x < 0, x + two_to_64()).otherwise(x)
 
     @staticmethod
     def narrow(x: Column) -> Column:
         """Modulo 2^64, as signed bits."""
-        whole = F.lit(2**64).cast("decimal(38,0)")
+        whole = two_to_64()
         low = F.pmod(x, whole)
-        return F.when(low >= F.lit(2**63).cast("decimal(38,0)"), low - whole).otherwise(low).cast("long")
+        return F.when(low >= two_to_63(), low - whole).otherwise(low).cast("long")
 
     @staticmethod
     def add(a, b) -> Column:

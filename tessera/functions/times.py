@@ -82,7 +82,7 @@ class Time:
     @staticmethod
     def fmt(n: int, t) -> Column:
         """Seconds with n digits after the point."""
-        return tilde(F.format_string(f"%.{max(0, n)}f", (col(t).cast("decimal(20,0)") / F.lit(SECOND)).cast("decimal(30,9)")))
+        return tilde((col(t).cast("decimal(20,0)") / F.lit(SECOND)).cast(f"decimal(30,{max(0, n)})").cast("string"))
 
     @staticmethod
     def to_string(t) -> Column:

@@ -278,6 +278,9 @@ def check(p: Program) -> None:
     for f in p.facts:
         if variables(f) or any(isinstance(x, Var) for x in f.args):
             raise DatalogError(f"fact of '{f.name}' has a variable")
+        for x, (column, kind) in zip(f.args, p.decls[f.name], strict=True):
+            if type_of(x, {}) != kind:
+                raise DatalogError(f"column '{column}' of '{f.name}' is {kind}")
     group_of = {n: i for i, g in enumerate(strata(p)) for n in g}
     for r in p.rules:
         types: dict[str, str] = {}

@@ -48,7 +48,7 @@ def places(df: DataFrame, text: str, window: int) -> DataFrame:
 
 
 def sorted_groups(parts: DataFrame, window: int) -> DataFrame:
-    """Of contexts (_hash, _context, _n, _part) the covered interval [_from, _to), by suffix arrays of whole groups."""
+    """Of contexts (_hash, _context, _part, ...) the covered interval [_from, _to), by suffix arrays of whole groups."""
 
     def run(frames):
         group: list[tuple] = []
@@ -85,10 +85,15 @@ def counted_windows(parts: DataFrame, window: int) -> DataFrame:
     return digest.join(twice, "_digest").groupBy("_context").agg(F.min("_at").cast("int").alias("_from"), (F.max("_at") + window).cast("int").alias("_to"))
 
 
-def covered(df: DataFrame, text: str = "text", window: int = WINDOW, largest_group: int = LARGEST_GROUP) -> DataFrame:
-    """_key of each text with repeats, and spans: its covered intervals, not merged."""
+def covered(df: DataFrame, text: str, window: int, kept: list[str], largest_group: int = LARGEST_GROUP) -> DataFrame:
+    """_key of each text with repeats, and spans: its covered intervals, not merged.
+
+    kept: the columns with which the texts are dealt by key once more when the spans are known. They are dealt
+    with the same ones here, so that both joins read one exchange.
+    """
     every = places(df, text, window)
-    often = every.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    # written first: a join of two plain exchanges is one whose hot hashes can be split
+    often = checkpointed(every.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
     hot = checkpointed(every.join(often, "_hash"))
     # equal contexts are one row from here on; the first place found stands for all
     each = hot.groupBy("_hash", "_context").agg(F.count(F.lit(1)).alias("_n"), F.first("_key").alias("_key"), F.first("_begin").alias("_begin"), F.first("_length").alias("_length"))
@@ -96,8 +101,10 @@ def covered(df: DataFrame, text: str = "text", window: int = WINDOW, largest_gro
     groups = each.groupBy("_hash").agg(F.count(F.lit(1)).alias("_different")).where("_different > 1")
     compared = each.join(groups, "_hash")
     wanted = compared.groupBy("_key").agg(F.collect_list(F.struct("_hash", "_context", "_begin", "_length", "_different")).alias("_wanted"))
-    parts = keyed(df, text).join(wanted, "_key").select("_bytes", F.explode("_wanted").alias("w"))
-    parts = parts.select("w._hash", "w._context", "w._different", F.substring("_bytes", F.col("w._begin") + 1, F.col("w._length")).alias("_part"))
+    parts = keyed(df, text, *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(kept))).join(wanted, "_key")
+    names = [f"_kept{i}" for i in range(len(kept))]
+    parts = parts.select(*names, "_bytes", F.explode("_wanted").alias("w"))
+    parts = parts.select(*names, "w._hash", "w._context", "w._different", F.substring("_bytes", F.col("w._begin") + 1, F.col("w._length")).alias("_part"))
     large = groups.where(F.col("_different") > largest_group).limit(1).count() > 0
     found = sorted_groups(parts.where(F.col("_different") <= largest_group), window)
     if large:
@@ -122,8 +129,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """A row for each text: columns keep, n_bytes, removed (array of struct<start, end>, in bytes), kept (binary)."""
     kept = keep or ["doc_id"]
-    spans = covered(df, text, window)
-    both = keyed(df, text, *(F.col(c) for c in kept)).join(spans, "_key", "left").select(*kept, "_bytes", F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
+    spans = covered(df, text, window, kept)
+    texts = keyed(df, text, *(F.col(c).alias(f"_kept{i}") for i, c in enumerate(kept)))
+    both = texts.join(spans, "_key", "left").select(*(F.col(f"_kept{i}").alias(c) for i, c in enumerate(kept)), "_bytes", F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "n_bytes long, removed array<struct<start:int,end:int>>, kept binary"])
 
     def run(frames):

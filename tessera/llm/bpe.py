@@ -167,7 +167,8 @@ class WordBPE:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by a space, as the library does without a decoder."""
-        flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.int64), ids.offsets.to_numpy()
+        flat, offsets = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ids.offsets.to_numpy()
+        offsets = offsets - offsets[0]
         valid = (flat >= 0) & (flat < self.size)
         valid[valid] = self.known[flat[valid]]
         kept = np.r_[0, np.cumsum(valid)][offsets]
@@ -212,10 +213,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
                 lists = part.column(ids)
-                lists = pa.array(lists.to_pylist(), pa.list_(pa.int32())) if lists.null_count else lists
-                lists = pa.ListArray.from_arrays(pa.array([0] * (len(lists) + 1), pa.int32()), pa.array([], pa.int32())) if not len(lists.values) else lists
-                if lists.null_count:
-                    lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
+                if lists.null_count or lists.flatten().null_count:
+                    lists = pa.array([[i for i in x or [] if i is not None] for x in lists.to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), bpe.decode(lists)], names=[*rest, text])
 
     return df.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)

@@ -23,6 +23,8 @@ from tessera.llm.common import checkpointed, once, table, text_of
 from tessera.llm.quality import words
 
 SAMPLES = 16
+#: Samples computed from one row: more would make a method that the JVM doesn't compile.
+STEP = 4
 BITS = 24
 UNIT = 1.0 / (1 << 31)
 
@@ -32,35 +34,49 @@ def uniform(bits: Column) -> Column:
     return (bits.cast("double") + 0.5) * UNIT
 
 
-def two(term: Column, k: int, j: int) -> tuple[Column, Column]:
-    h = F.xxhash64(term, F.lit(8 * k + j))
+def two(term: Column, k: Column, j: int) -> tuple[Column, Column]:
+    h = F.xxhash64(term, k * 8 + j)
     return uniform(h.bitwiseAND(0x7FFFFFFF)), uniform(F.shiftrightunsigned(h, 33))
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
     """ln a in the high bits and a hash of (term, t) in the low ones, so that the smallest value is the sample."""
     (u1, u2), (u3, u4), (b, _) = two(term, k, 0), two(term, k, 1), two(term, k, 2)
     r, c = -F.ln(u1 * u2), -F.ln(u3 * u4)
     t = F.floor(log_weight / r + b)
-    log_a = F.ln(c) - r * (t.cast("double") - b) - r
-    low = F.xxhash64(term, t, F.lit(k)).bitwiseAND((1 << BITS) - 1)
+    log_a = F.ln(c) - r * (t.cast("double") - b + 1.0)
+    low = F.xxhash64(term, t, k).bitwiseAND((1 << BITS) - 1)
     return F.shiftleft((log_a * float(1 << 26)).cast("long"), BITS).bitwiseOR(low)
 
 
-def terms(text: Column) -> Column:
-    """Sorted hashes of a text's terms, repeats included."""
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
-    return once(words(text), lambda w: F.sort_array(F.when(F.size(w) > 1, pairs(w)).otherwise(F.transform(w, lambda x: F.xxhash64(x)))))
+def terms(text: Column, side: int) -> Column:
+    """Hashes of a text's terms, repeats included; the lowest bit tells which of two texts they are from."""
+    mark = lambda h: F.shiftleft(F.shiftright(h, 1), 1) + side
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: mark(F.xxhash64(F.get(w, i), F.get(w, i + 1))))
+    return once(words(text), lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(F.transform(w, lambda x: mark(F.xxhash64(x)))))
 
 
-def weighted(sorted_terms: Column) -> Column:
-    """array of struct<h, w> from sorted terms."""
+def weighted(first: Column, second: Column) -> Column:
+    """array of struct<h, w, of>: the terms of two texts with their counts; of is 1, 2, or 3 where both have the term as often.
+
+    One sort of all hashes, and two passes over neighbours.
+    """
 
     def runs(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
         return once(starts, lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("h"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).alias("w"))))
 
-    return once(sorted_terms, runs)
+    def joined(r: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            after, before = F.get(r, k + 1), F.get(r, k - 1)
+            is_second = x["h"].bitwiseAND(1) == 1
+            same_after = (after["h"] == x["h"] + 1) & (after["w"] == x["w"])
+            same_before = (before["h"] == x["h"] - 1) & (before["w"] == x["w"])
+            return F.when(is_second, F.when(same_before, 0).otherwise(2)).otherwise(F.when(same_after, 3).otherwise(1))
+
+        return F.filter(F.transform(r, lambda x, k: F.struct(F.shiftright(x["h"], 1).alias("h"), x["w"].alias("w"), of(x, k).alias("of"))), lambda x: x["of"] > 0)
+
+    return once(F.sort_array(F.concat(first, second)), lambda s: once(runs(s), joined))
 
 
 def fingerprints(df: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:
@@ -68,14 +84,16 @@ def fingerprints(df: DataFrame, keys: list[str], first: str, second: str, sample
 
     The keys must determine both texts. What both have in common is sampled once.
     """
-    both = lambda a, b: F.concat(F.transform(F.array_intersect(a, b), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), F.lit(3).alias("of"))), F.transform(F.array_except(a, b), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), F.lit(1).alias("of"))), F.transform(F.array_except(b, a), lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), F.lit(2).alias("of"))))  # noqa: E731, E501
-    listed = df.select(*keys, F.transform(F.array(F.struct(weighted(terms(F.col(first))).alias("a"), weighted(terms(F.col(second))).alias("b"))), lambda x: both(x["a"], x["b"]))[0].alias("_terms"))
-    rows = listed.select(*keys, F.posexplode_outer("_terms").alias("_i", "_x")).select(*keys, F.coalesce("_i", F.lit(0)).alias("_i"), F.col("_x.h").alias("_h"), F.ln(F.col("_x.w").cast("double")).alias("_lw"), F.col("_x.of").alias("_of"))
-    values = rows.select(*keys, "_i", "_of", *(sample(F.col("_h"), F.col("_lw"), k).alias(f"_v{k}") for k in range(samples)))
+    listed = df.select(*keys, weighted(terms(F.col(first), 0), terms(F.col(second), 1)).alias("_terms"))
+    rows = listed.select(*keys, F.posexplode_outer("_terms").alias("_i", "_x")).select(
+        *keys, F.coalesce("_i", F.lit(0)).alias("_i"), F.col("_x.h").alias("_h"), F.ln(F.col("_x.w").cast("double")).alias("_lw"), F.col("_x.of").alias("_of"), F.explode(F.array(*(F.lit(b) for b in range(samples // STEP)))).alias("_b")
+    )
+    values = rows.select(*keys, "_i", "_of", "_b", *(sample(F.col("_h"), F.col("_lw"), F.col("_b") * STEP + k).alias(f"_v{k}") for k in range(STEP)))
     least = lambda k, bit: F.min(F.when(F.col("_of").bitwiseAND(bit) > 0, F.col(f"_v{k}")))
-    reduced = values.groupBy(*keys).agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("_n"), *(least(k, bit).alias(f"_m{bit}_{k}") for bit in (1, 2) for k in range(samples)))
-    bits = lambda bit: F.array(*(F.col(f"_m{bit}_{k}").bitwiseAND((1 << BITS) - 1) for k in range(samples)))
-    return reduced.select(*keys, "_n", bits(1).alias(first), bits(2).alias(second))
+    reduced = values.groupBy(*keys, "_b").agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("_n"), *(least(k, bit).alias(f"_m{bit}_{k}") for bit in (1, 2) for k in range(STEP)))
+    bits = lambda bit: F.array(*(F.col(f"_m{bit}_{k}").bitwiseAND((1 << BITS) - 1) for k in range(STEP)))
+    parts = reduced.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_b", bits(1).alias("a"), bits(2).alias("b")))).alias("_parts"))
+    return parts.select(*keys, "_n", F.flatten(F.transform("_parts", lambda x: x["a"])).alias(first), F.flatten(F.transform("_parts", lambda x: x["b"])).alias(second))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -112,22 +130,21 @@ def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
     after = following(docs, "doc_id", F.floor(F.char_length("text") / 3))
     wanted = after.select(F.col("_next").alias("_id"), F.col("doc_id").alias("_for"), "_measure")
-    heads = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("_for", F.sha2("text", 256).alias("_sha"), F.left("text", F.col("_measure").cast("int")).alias("_head"))
-    heads = heads.groupBy("_for").agg(F.min(F.struct("_sha", "_head")).alias("_rep")).select("_for", F.col("_rep._sha").alias("_next_sha"), F.col("_rep._head").alias("_head"))
+    # texts are told apart by a 64-bit hash here; rows between stages hold no long strings
+    heads = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("_for", F.sha2("text", 256).alias("_sha"), F.xxhash64("text").alias("_next_key"), F.left("text", F.col("_measure").cast("int")).alias("_head"))
+    heads = heads.groupBy("_for").agg(F.min(F.struct("_sha", "_next_key", "_head")).alias("_rep")).select("_for", "_rep._next_key", "_rep._head")
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    edited = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_for"])).select(
-        "doc_id", "_next_sha", "text", n.alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.concat(F.left("text", n - third), F.left("_head", third)).alias("edited")
-    )
-    keyed = edited.select("doc_id", "n_chars", "text_sha256", F.sha2("edited", 256).alias("edited_sha256"), "_next_sha", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
-    keys = ["doc_id", "n_chars", "text_sha256", "edited_sha256", "_next_sha"]
+    edited = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_for"])).select("doc_id", "_next_key", "text", n.alias("n_chars"), F.concat(F.left("text", n - third), F.left("_head", third)).alias("edited"))
+    keyed = edited.select("doc_id", "n_chars", F.xxhash64("text").alias("_text_key"), F.unhex(F.sha2("edited", 256)).alias("_edited"), "_next_key", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
+    keys = ["doc_id", "n_chars", "_text_key", "_edited", "_next_key"]
     found = checkpointed(fingerprints(keyed, keys, "fingerprint", "edited_fingerprint"))
-    # equal texts have equal fingerprints: the next document's is looked up by its text's digest
-    of_text = found.groupBy(F.col("text_sha256").alias("_sha")).agg(F.first("fingerprint").alias("_next_print"))
-    return found.join(of_text, found["_next_sha"] == of_text["_sha"], "left").select(
+    # equal texts have equal fingerprints: the next document's is looked up by its text's hash
+    of_text = found.groupBy(F.col("_text_key").alias("_key")).agg(F.first("fingerprint").alias("_next_print"))
+    return found.join(of_text, found["_next_key"] == of_text["_key"], "left").select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
-        "edited_sha256",
+        F.lower(F.hex("_edited")).alias("edited_sha256"),
         written_out(F.col("fingerprint")).alias("fingerprint"),
         written_out(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

@@ -54,22 +54,20 @@ def role_of(mark: Column) -> Column:
     return F.coalesce(known, unescaped(mark))
 
 
-def paths(df: DataFrame, tree: str, node: str, parent: str, score: str, best: int, most_rounds: int = 40) -> DataFrame:
+def paths(df: DataFrame, tree: str, node: str, parent: str, score: str, best: int) -> DataFrame:
     """tree, leaf, node, place (from the root) of the best paths of each tree."""
     base = df.select(F.col(tree).alias("t"), F.col(node).alias("n"), F.col(parent).alias("p"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))
     ids = base.select(F.col("t").alias("t2"), F.col("n").alias("n2")).distinct()
     start = base.dropDuplicates(["t", "n"]).join(ids, base["t"].eqNullSafe(ids["t2"]) & (base["p"] == ids["n2"]), "left")
     level = checkpointed(start.select("t", "n", F.col("n2").alias("up"), "s", F.lit(1).alias("d")))
     levels = [level]
-    for _ in range(most_rounds):
+    for _ in range(level.count().bit_length() + 1):  # what hasn't reached a root by then is on a cycle
         if level.where("up is not null").limit(1).count() == 0:
             break
         above = level.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
-        level = checkpointed(
-            level.join(above, level["t"].eqNullSafe(above["t2"]) & (level["up"] == above["n2"]), "left").select(
-                "t", "n", F.col("up2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")
-            )
-        )
+        below = level.where("up is not null")  # the others have reached their root
+        stepped = below.join(above, below["t"].eqNullSafe(above["t2"]) & (below["up"] == above["n2"]))
+        level = checkpointed(stepped.select("t", "n", F.col("up2").alias("up"), (F.col("s") + F.col("s2")).alias("s"), (F.col("d") + F.col("d2")).alias("d")).unionByName(level.where("up is null")))
         levels.append(level)
     inner = levels[0].where("up is not null").select(F.col("t").alias("t2"), F.col("up").alias("n2")).distinct()
     leaves = level.where("up is null").join(inner, level["t"].eqNullSafe(inner["t2"]) & (level["n"] == inner["n2"]), "left_anti")
@@ -79,7 +77,7 @@ def paths(df: DataFrame, tree: str, node: str, parent: str, score: str, best: in
     for k, x in enumerate(levels[:-1]):
         step = x.where("up is not null").select(F.col("t").alias("t2"), F.col("n").alias("n2"), "up")
         up = walk.join(step, walk["t"].eqNullSafe(step["t2"]) & (walk["n"] == step["n2"])).select("t", "leaf", "rank", "length", F.col("up").alias("n"), (F.col("place") - (1 << k)).alias("place"))
-        walk = walk.unionByName(up)
+        walk = checkpointed(walk.unionByName(up))  # each round reads the walk twice
     return walk.select(F.col("t").alias(tree), "leaf", "rank", F.col("n").alias(node), "place")
 
 

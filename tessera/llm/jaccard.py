@@ -246,8 +246,8 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[doc].dataType.simpleString()
     t = text_of(text)
-    # equal texts go to one chunk; chunks and ranges follow the session's partitions, which follow the data
-    chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(t), F.lit(parts)).cast("int").alias("_chunk"))
+    # copies of a text are spread over chunks; chunks and ranges follow the session's partitions, which follow the data
+    chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(F.col(doc), t), F.lit(parts)).cast("int").alias("_chunk"))
     requests = chunked.groupBy("_chunk").applyInPandas(lambda x: asked(x, parts), "_chunk int, _range int, _hashes binary, _counts binary")
     answers = requests.groupBy("_range").applyInPandas(answered, "_chunk int, _shared binary, _levels binary")
     both = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
@@ -271,7 +271,8 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
         F.col("node").alias("_set"), "component", "_b", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1))).alias("_o")
     )
     dealt = dealt.select("_set", "component", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.when(F.least("_b", "_o") == F.greatest("_b", "_o"), 0).otherwise(F.col("_b")).alias("_side"))
-    grouped = dealt.join(candidates.select("_set", "_shingles"), "_set").groupBy("component", "_i", "_j")
+    # a set that several chunks hold is reduced to one before it is dealt
+    grouped = dealt.join(candidates.select("_set", "_shingles").dropDuplicates(["_set"]), "_set").groupBy("component", "_i", "_j")
     links = grouped.applyInPandas(lambda x: neighbourhoods(x, percent), "u long, v long")
     classes = components(links)
 

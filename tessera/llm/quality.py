@@ -136,7 +136,8 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataF
 
 def keep_good(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """The rows of df that no rule rejects."""
-    return judge(df, text, rules).where("rejected_by is null").drop("rejected_by")
+    order = ordered(df, text, rules)
+    return df.where(once(words(text_of(text)), lambda w: rejected_by(text_of(text), w, order)).isNull())
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

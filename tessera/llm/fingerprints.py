@@ -129,13 +129,21 @@ def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
     after = following(docs, "doc_id", F.floor(F.char_length("text") / 3))
-    wanted = after.select(F.col("_next").alias("_id"), F.col("doc_id").alias("_for"), "_measure")
+    # an id as two columns that are never null: what is dealt by them stays dealt for the join
+    key = lambda c, name: [F.coalesce(F.col(c), F.lit(0)).alias(f"{name}_id"), F.col(c).isNull().alias(f"{name}_null")]
+    same = lambda a, b: (F.col(f"{a}_id") == F.col(f"{b}_id")) & (F.col(f"{a}_null") == F.col(f"{b}_null"))
+    keyed_docs = docs.select(*key("doc_id", "own"), "text")
+    wanted = after.select(*key("_next", "next"), *key("doc_id", "for"), "_measure")
     # texts are told apart by a 64-bit hash here; rows between stages hold no long strings
-    heads = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("_for", F.sha2("text", 256).alias("_sha"), F.xxhash64("text").alias("_next_key"), F.left("text", F.col("_measure").cast("int")).alias("_head"))
-    heads = heads.groupBy("_for").agg(F.min(F.struct("_sha", "_next_key", "_head")).alias("_rep")).select("_for", "_rep._next_key", "_rep._head")
+    heads = keyed_docs.join(wanted, same("own", "next")).select(
+        "for_id", "for_null", F.struct(F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("next_key"), F.left("text", F.col("_measure").cast("int")).alias("head")).alias("rep")
+    )
+    heads = heads.groupBy("for_id", "for_null").agg(F.min("rep").alias("rep"))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    edited = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_for"])).select("doc_id", "_next_key", "text", n.alias("n_chars"), F.concat(F.left("text", n - third), F.left("_head", third)).alias("edited"))
+    edited = keyed_docs.join(heads, same("own", "for")).select(
+        F.when(~F.col("own_null"), F.col("own_id")).alias("doc_id"), F.col("rep.next_key").alias("_next_key"), "text", n.alias("n_chars"), F.concat(F.left("text", n - third), F.left("rep.head", third)).alias("edited")
+    )
     keyed = edited.select("doc_id", "n_chars", F.xxhash64("text").alias("_text_key"), F.unhex(F.sha2("edited", 256)).alias("_edited"), "_next_key", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
     keys = ["doc_id", "n_chars", "_text_key", "_edited", "_next_key"]
     found = checkpointed(fingerprints(keyed, keys, "fingerprint", "edited_fingerprint"))

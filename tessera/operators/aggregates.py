@@ -24,7 +24,8 @@ def non_empty_or_raise(aggregate: Column) -> Column:
 
 
 def min_(x: Column) -> Column:
-    return non_empty_or_raise(F.min(x))
+    """A missing value is the smallest."""
+    return non_empty_or_raise(F.when(F.count(x) == F.count(F.lit(1)), F.min(x)))
 
 
 def max_(x: Column) -> Column:

@@ -12,13 +12,14 @@ import functools
 import numpy as np
 
 GRAM = 32
-PIECE = 1 << 21
+#: Bytes hashed at once: a few arrays of eight bytes for each are held.
+PIECE = 1 << 19
 PLACE_BITS = 23
 PLACE_MASK = np.uint64((1 << PLACE_BITS) - 1)
 
 
 @functools.lru_cache(maxsize=2)
-def powers(bits: int = 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """2^bits powers of an odd base and of its inverse, modulo 2^64, and a random word for each byte."""
     base = 0x9E3779B97F4A7C15
     n = 1 << bits
@@ -28,7 +29,7 @@ def powers(bits: int = 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def powers_for(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return powers(max(22, int(n).bit_length()))
+    return powers(max(20, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import contexts
-from tessera.llm.common import checkpointed, table, text_of
+from tessera.llm.common import checkpointed, released, table, text_of
 from tessera.llm.suffix import repeated_windows
 
 WINDOW = 200
@@ -43,6 +43,7 @@ def places(df: DataFrame, text: str, window: int) -> DataFrame:
             keys = frame["_key"].to_numpy()
             for which, begin, length, key, context in contexts(frame["_bytes"].tolist(), window):
                 yield pd.DataFrame({"_key": keys[which], "_begin": begin, "_length": length, "_hash": key, "_context": context})
+            released()
 
     return keyed(df, text).mapInPandas(run, "_key long, _begin int, _length int, _hash long, _context long")
 
@@ -57,6 +58,7 @@ def sorted_groups(parts: DataFrame, window: int) -> DataFrame:
 
         def flush():
             first, last = repeated_windows([x[2] for x in block], window)
+            released()
             return pd.DataFrame({"_context": [x[1] for x in block], "_from": first, "_to": last + window})[lambda x: x["_from"] >= 0]
 
         for frame in frames:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import between, mix, pieces, prefix
-from tessera.llm.common import checkpointed, table, text_of
+from tessera.llm.common import checkpointed, released, table, text_of
 from tessera.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -115,6 +115,7 @@ def asked(frame: pd.DataFrame, ranges: int) -> pd.DataFrame:
     if not sets:
         return pd.DataFrame({"_chunk": [], "_range": [], "_hashes": [], "_counts": []})
     values, counts = np.unique(shortened(np.concatenate(list(sets.values()))), return_counts=True)
+    del sets
     limits = np.searchsorted(values, (np.arange(ranges + 1) << 40) // ranges)
     rows = [(i, as_planes(values[a:b]), np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()) for i, (a, b) in enumerate(zip(limits, limits[1:])) if b > a]
     return pd.DataFrame({"_chunk": frame["_chunk"].iloc[0], "_range": [r[0] for r in rows], "_hashes": [r[1] for r in rows], "_counts": [r[2] for r in rows]})
@@ -161,6 +162,13 @@ def placed(texts: pd.DataFrame, answers: pd.DataFrame, doc: str, percent: int) -
     return pd.DataFrame(rows, columns=[doc, "_key", "n_shingles", "_set", "_prefix", "_shingles"]).astype({"_set": "Int64"})
 
 
+def tidy(f, *args) -> pd.DataFrame:
+    """f's result, with the memory that it took given back."""
+    out = f(*args)
+    released()
+    return out
+
+
 def order_by_size(sets: list[np.ndarray]) -> list[int]:
     return sorted(range(len(sets)), key=lambda i: len(sets[i]))
 
@@ -246,12 +254,14 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[doc].dataType.simpleString()
     t = text_of(text)
-    # copies of a text are spread over chunks; chunks and ranges follow the session's partitions, which follow the data
-    chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(F.col(doc), t), F.lit(parts)).cast("int").alias("_chunk"))
-    requests = chunked.groupBy("_chunk").applyInPandas(lambda x: asked(x, parts), "_chunk int, _range int, _hashes binary, _counts binary")
-    answers = requests.groupBy("_range").applyInPandas(answered, "_chunk int, _shared binary, _levels binary")
+    # copies of a text are spread over chunks; chunks and ranges follow the session's partitions, which follow the data,
+    # and are a part of one each, as a task holds one at a time
+    chunks, ranges = 4 * parts, 2 * parts
+    chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(F.col(doc), t), F.lit(chunks)).cast("int").alias("_chunk"))
+    requests = chunked.groupBy("_chunk").applyInPandas(lambda x: tidy(asked, x, ranges), "_chunk int, _range int, _hashes binary, _counts binary")
+    answers = requests.groupBy("_range").applyInPandas(lambda x: tidy(answered, x), "_chunk int, _shared binary, _levels binary")
     both = chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk"))
-    sets = checkpointed(both.applyInPandas(lambda x, y: placed(x, y, doc, percent), f"`{doc}` {kind}, _key long, n_shingles long, _set long, _prefix binary, _shingles binary"))
+    sets = checkpointed(both.applyInPandas(lambda x, y: tidy(placed, x, y, doc, percent), f"`{doc}` {kind}, _key long, n_shingles long, _set long, _prefix binary, _shingles binary"))
 
     candidates = sets.where("_prefix is not null")
 
@@ -273,7 +283,7 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     dealt = dealt.select("_set", "component", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), F.when(F.least("_b", "_o") == F.greatest("_b", "_o"), 0).otherwise(F.col("_b")).alias("_side"))
     # a set that several chunks hold is reduced to one before it is dealt
     grouped = dealt.join(candidates.select("_set", "_shingles").dropDuplicates(["_set"]), "_set").groupBy("component", "_i", "_j")
-    links = grouped.applyInPandas(lambda x: neighbourhoods(x, percent), "u long, v long")
+    links = grouped.applyInPandas(lambda x: tidy(neighbourhoods, x, percent), "u long, v long")
     classes = components(links)
 
     # back from sets to texts; the empty set is linked with nothing

@@ -19,6 +19,7 @@ from tessera.operators import aggregates as agg
 from tessera.operators.fixpoint import iterate
 from tessera.operators.rel import DESC, Rel, from_
 from tessera.plans import datalog
+from tessera.plans.lang import Session
 from tessera.plans.logic import Recursive, abs_, between, elem, exists, mod, prefix, solve, syms
 from tessera.sources.tables import parquet, table
 
@@ -643,3 +644,42 @@ def q_word_functions(spark, d):
 def q_range_sets(spark, d):
     ranges = RangeSet.continuous([Range.closed_open(5, 10), Range.closed_open(8, 12), Range.greater_than(48)])
     return table(spark, d, "lineitem", "l").where(lambda l: ranges.contains(l.l_quantity)).yield_(lambda l: {"l_orderkey": l.l_orderkey, "l_linenumber": l.l_linenumber}).result()
+
+
+# ---------------------------------------------------------------- queries as text
+
+
+def session(spark, d, *names: str) -> Session:
+    return Session(spark, {n: table(spark, d, n) for n in names})
+
+
+@query("SELECT c_mktsegment, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000 GROUP BY c_mktsegment")
+def q_text_group(spark, d):
+    text = """
+        from c in customer, o in orders
+          where c.c_custkey = o.o_custkey andalso o.o_totalprice > 100000.0
+          group {c.c_mktsegment} compute {n = count over (), s = sum over o.o_orderkey};
+    """
+    return session(spark, d, "customer", "orders").run(text).result()
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'seven' WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")
+def q_text_functions(spark, d):
+    """A user's function is inlined; membership in another query becomes an anti join."""
+    text = """
+        fun kind n = if n mod 7 = 0 then "seven" else if n > 25 then "large" else "small";
+        val big = from p in part where p.p_size = 50 yield p.p_brand;
+        from p in part where p.p_brand notelem big yield {p.p_partkey, kind = kind p.p_size};
+    """
+    return session(spark, d, "part").run(text).result()
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5 OFFSET 2")
+def q_text_order(spark, d):
+    return session(spark, d, "customer").run("from c in customer order (DESC c.c_acctbal, c.c_custkey) skip 2 take 5 yield {c.c_custkey, c.c_name};").result()
+
+
+@query("SELECT n_name, s_suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 7000) ON n_nationkey = s_nationkey")
+def q_text_left_join(spark, d):
+    text = "from n in nation left join s in (from x in supplier where x.s_acctbal > 7000.0) on n.n_nationkey = s.s_nationkey yield {n.n_name, s.s_suppkey};"
+    return session(spark, d, "nation", "supplier").run(text).result()

@@ -62,7 +62,7 @@ class WordBPE:
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
+        self.special = regex.compile("(" + ("|".join(map(regex.escape, self.specials)) or "(?!)") + ")")
         self.product = np.zeros(len(self.ranks), np.int64)
         self.product[self.ranks] = self.merged
         self.old: dict[str, bytes] = {}

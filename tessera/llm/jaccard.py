@@ -255,8 +255,8 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
     kind = df.schema[doc].dataType.simpleString()
     t = text_of(text)
     # copies of a text are spread over chunks; chunks and ranges follow the session's partitions, which follow the data,
-    # and are a part of one each, as a task holds one at a time
-    chunks, ranges = 4 * parts, 2 * parts
+    # and a chunk is a part of one, as a task holds a chunk at a time
+    chunks, ranges = 4 * parts, parts
     chunked = df.select(F.col(doc).alias("_doc"), F.xxhash64(t).alias("_key"), t.cast("binary").alias("_bytes"), F.pmod(F.xxhash64(F.col(doc), t), F.lit(chunks)).cast("int").alias("_chunk"))
     requests = chunked.groupBy("_chunk").applyInPandas(lambda x: tidy(asked, x, ranges), "_chunk int, _range int, _hashes binary, _counts binary")
     answers = requests.groupBy("_range").applyInPandas(lambda x: tidy(answered, x), "_chunk int, _shared binary, _levels binary")

@@ -1,6 +1,7 @@
 """Registry of the library's own queries: name -> (spark, sf_dir) -> DataFrame, and the same as SQL.
 
-Every query reads whole tables. Integers are bigint and sums of doubles are rounded, so that two engines
+Every query reads whole tables; those whose name has a namesake with _whole fold or filter ids afterwards, and the
+namesake doesn't. Integers are bigint and sums of doubles are rounded, so that two engines
 can be compared value by value.
 """
 
@@ -189,7 +190,7 @@ def q_four_way_join(spark, d):
 
 
 def purchases(spark, d) -> DataFrame:
-    """An edge from each user to the user of the next event, of purchases."""
+    """An edge from each user to each event of a purchase, with the ids of both folded to 60 nodes."""
     e = parquet(spark, d, "events").where("event_type = 'purchase'")
     return e.select((F.col("user_id") % 60).alias("x"), (F.col("event_id") % 60).alias("y")).where("x <> y").distinct()
 
@@ -199,7 +200,11 @@ EDGES = "SELECT DISTINCT user_id % 60 AS x, event_id % 60 AS y FROM events WHERE
 
 @query(f"WITH e AS ({EDGES}) SELECT a.x AS a, b.x AS b, c.x AS c FROM e a, e b, e c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x AND a.x < b.x AND a.x < c.x")
 def q_triangles(spark, d):
-    e = Rel.bag(purchases(spark, d))
+    return triangles(purchases(spark, d))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    e = Rel.bag(edges)
     return (
         from_(e, "p")
         .join("q", e, lambda p, q: (p.y == q.x) & (p.x < q.x))
@@ -385,7 +390,11 @@ for _name, _method, _distinct, _op in (
 @query("SELECT CAST(c_custkey AS BIGINT) AS k FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 EXCEPT ALL SELECT s_suppkey FROM supplier)")
 def q_ordered_except(spark, d):
     """Of a list the earliest go; the rest keeps its order."""
-    mine = table(spark, d, "customer", "c").where(lambda c: c.c_custkey % 3 == 0).order(lambda c: c.c_custkey).yield_(lambda c: {"k": c.c_custkey})
+    return without_suppliers(spark, d, table(spark, d, "customer", "c").where(lambda c: c.c_custkey % 3 == 0))
+
+
+def without_suppliers(spark, d, customers: Rel) -> DataFrame:
+    mine = customers.order(lambda c: c.c_custkey).yield_(lambda c: {"k": c.c_custkey})
     return mine.except_(table(spark, d, "supplier", "s").yield_(lambda s: {"k": s.s_suppkey})).result()
 
 
@@ -415,14 +424,20 @@ def q_into(spark, d):
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x) SELECT x, y FROM t")
 def q_iterate_closure(spark, d):
-    e = purchases(spark, d)
+    return closure(purchases(spark, d))
+
+
+def closure(e: DataFrame) -> DataFrame:
     hop = e.toDF("y", "z")
     return iterate(e, lambda total, new: new.join(hop, "y").select("x", F.col("z").alias("y")))
 
 
 @query(f"WITH RECURSIVE e AS ({EDGES}), t(y, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.y, t.hops + 1 FROM t JOIN e ON t.y = e.x WHERE t.hops < 4) SELECT y, CAST(min(hops) AS BIGINT) AS hops FROM t GROUP BY y")
 def q_iterate_hops(spark, d):
-    e = purchases(spark, d)
+    return hops(spark, purchases(spark, d))
+
+
+def hops(spark, e: DataFrame) -> DataFrame:
     seed = spark.createDataFrame([(0, 0)], "y bigint, hops bigint")
     reached = iterate(seed, lambda total, new: new.where("hops < 4").join(e.toDF("y", "z"), "y").groupBy("z").agg(F.min(F.col("hops") + 1)).toDF("y", "hops").join(total.select("y"), "y", "left_anti"))
     return Rel.bag(reached, "r").group(["r.y"], {"hops": lambda r: agg.min_(r.hops)}).result()
@@ -504,26 +519,35 @@ def q_unbounded_fbbt(spark, d):
 
 @query(f"WITH e AS ({EDGES}) SELECT DISTINCT a.x AS x, b.y AS z FROM e a JOIN e b ON a.y = b.x WHERE a.x < b.y")
 def q_unbounded_elem(spark, d):
-    e = purchases(spark, d)
+    return two_steps(purchases(spark, d))
+
+
+def two_steps(e: DataFrame) -> DataFrame:
     x, z = syms("x z")
     return solve(["x", "z"], exists(lambda y: elem((x, y), e) & elem((y, z), e)) & (x < z))
 
 
 @query(f"WITH e AS ({EDGES}) SELECT DISTINCT k FROM (SELECT x AS k FROM e WHERE y = 7 UNION SELECT y FROM e WHERE x = 3 UNION SELECT CAST(99 AS BIGINT))")
 def q_unbounded_orelse(spark, d):
-    e = purchases(spark, d)
+    return either_end(purchases(spark, d))
+
+
+def either_end(e: DataFrame) -> DataFrame:
     (k,) = syms("k")
     return solve(["k"], elem((k, 7), e) | elem((3, k), e) | (k == 99)).select(F.col("k").cast("bigint").alias("k"))
 
 
 @query(f"{PATHS} SELECT x, y FROM t WHERE x < 5")
 def q_unbounded_closure(spark, d):
-    e = purchases(spark, d).where("x < 20 and y < 20")
-    path = Recursive(lambda path, x, y: elem((x, y), e) | exists(lambda z: path(x, z) & elem((z, y), e)))
+    path = path_of(purchases(spark, d).where("x < 20 and y < 20"))
     x, y = syms("x y")
     return solve(["x", "y"], path(x, y) & (x < 5))
 
 
+def path_of(e: DataFrame) -> Recursive:
+    return Recursive(lambda path, x, y: elem((x, y), e) | exists(lambda z: path(x, z) & elem((z, y), e)))
+
+
 @query("SELECT DISTINCT left(r_name, CAST(i AS INT)) AS p FROM region, range(0, 30) t(i) WHERE i <= length(r_name) AND i >= 1")
 def q_unbounded_prefix(spark, d):
     names = parquet(spark, d, "region").select("r_name")
@@ -537,6 +561,101 @@ def q_unbounded_mod(spark, d):
     return solve(["x"], between(x, 0, 29) & ((mod(x, 7) == 3) | (x == 5))).select(F.col("x").cast("bigint").alias("x"))
 
 
+# ---------------------------------------------------------------- the same on whole ids: no folded nodes and no id filters
+
+
+def whole_purchases(spark, d) -> DataFrame:
+    """An edge from each user to each event of a purchase, ids as they are."""
+    e = parquet(spark, d, "events").where("event_type = 'purchase'")
+    return e.select(F.col("user_id").alias("x"), F.col("event_id").alias("y")).where("x <> y").distinct()
+
+
+WHOLE_EDGES = "SELECT DISTINCT user_id AS x, event_id AS y FROM events WHERE event_type = 'purchase' AND user_id <> event_id"
+WHOLE_PATHS = f"WITH RECURSIVE e AS ({WHOLE_EDGES}), t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x)"
+
+
+@query(f"WITH e AS ({WHOLE_EDGES}) SELECT a.x AS a, b.x AS b, c.x AS c FROM e a, e b, e c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x AND a.x < b.x AND a.x < c.x")
+def q_triangles_whole(spark, d):
+    return triangles(whole_purchases(spark, d))
+
+
+@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
+def q_iterate_closure_whole(spark, d):
+    return closure(whole_purchases(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), t(y, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.y, t.hops + 1 FROM t JOIN e ON t.y = e.x WHERE t.hops < 4) SELECT y, CAST(min(hops) AS BIGINT) AS hops FROM t GROUP BY y")
+def q_iterate_hops_whole(spark, d):
+    return hops(spark, whole_purchases(spark, d))
+
+
+def pairs(relations: dict, name: str) -> DataFrame:
+    return relations[name].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+
+
+@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
+def q_datalog_closure_whole(spark, d):
+    program = """
+        .decl edge(x:int, y:int)
+        .decl path(x:int, y:int)
+        path(X, Y) :- edge(X, Y).
+        path(X, Z) :- path(X, Y), path(Y, Z).
+        .output path
+    """
+    return pairs(datalog.execute(spark, program, {"edge": whole_purchases(spark, d)}), "path")
+
+
+@query(f"{WHOLE_PATHS}, nodes AS (SELECT DISTINCT x AS n FROM e) SELECT a.n AS x, b.n AS y FROM nodes a, nodes b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.x = a.n AND t.y = b.n)")
+def q_datalog_negation_whole(spark, d):
+    program = """
+        .decl edge(x:int, y:int)
+        .decl path(x:int, y:int)
+        .decl node(n:int)
+        .decl apart(x:int, y:int)
+        node(X) :- edge(X, _).
+        path(X, Y) :- edge(X, Y).
+        path(X, Z) :- path(X, Y), edge(Y, Z).
+        apart(X, Y) :- node(X), node(Y), !path(X, Y).
+        .output apart
+    """
+    return pairs(datalog.execute(spark, program, {"edge": whole_purchases(spark, d)}), "apart")
+
+
+@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), odd(x, y, p) AS (SELECT x, y, 1 FROM e UNION SELECT o.x, e.y, 1 - o.p FROM odd o JOIN e ON o.y = e.x) SELECT x, y FROM odd WHERE p = 0")
+def q_datalog_mutual_whole(spark, d):
+    program = """
+        .decl e(x:int, y:int)
+        .decl odd(x:int, y:int)
+        .decl even(x:int, y:int)
+        odd(X, Y) :- e(X, Y).
+        odd(X, Z) :- even(X, Y), e(Y, Z).
+        even(X, Z) :- odd(X, Y), e(Y, Z).
+        .output even
+    """
+    return pairs(datalog.execute(spark, program, {"e": whole_purchases(spark, d)}), "even")
+
+
+@query(f"WITH e AS ({WHOLE_EDGES}) SELECT DISTINCT a.x AS x, b.y AS z FROM e a JOIN e b ON a.y = b.x WHERE a.x < b.y")
+def q_unbounded_elem_whole(spark, d):
+    return two_steps(whole_purchases(spark, d))
+
+
+@query(f"WITH e AS ({WHOLE_EDGES}) SELECT DISTINCT k FROM (SELECT x AS k FROM e WHERE y = 7 UNION SELECT y FROM e WHERE x = 3 UNION SELECT CAST(99 AS BIGINT))")
+def q_unbounded_orelse_whole(spark, d):
+    return either_end(whole_purchases(spark, d))
+
+
+@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
+def q_unbounded_closure_whole(spark, d):
+    x, y = syms("x y")
+    return solve(["x", "y"], path_of(whole_purchases(spark, d))(x, y))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS k FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT s_suppkey FROM supplier)")
+def q_ordered_except_whole(spark, d):
+    return without_suppliers(spark, d, table(spark, d, "customer", "c"))
+
+
 # ---------------------------------------------------------------- the library
 
 

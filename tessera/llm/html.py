@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.anchors import contexts, mix
 from tessera.llm.common import checkpointed, table, text_of
-from tessera.llm.suffix import repeated_windows
+from tessera.llm.suffix import SEVERAL, repeated_windows
 
 #: Bytes of token stream that distinct pages must share.
 WINDOW = 48
@@ -145,6 +145,15 @@ def unique_runs(texts: list[str], undecided: list[bool], spans: list[tuple[int,
     return out
 
 
+def counted_windows(parts: DataFrame, window: int) -> DataFrame:
+    """The covered interval of contexts in groups too large for a task: each window's digest, with the pages that have it."""
+    at = parts.select("_hash", "_context", "_part", "_page", F.explode(F.sequence(F.lit(0), F.length("_part") - window)).alias("_at"))
+    digest = at.select("_hash", "_context", "_page", "_at", F.md5(F.substring("_part", F.col("_at") + 1, F.lit(window))).alias("_digest"))
+    shared = digest.groupBy("_hash", "_digest").agg(F.min("_page").alias("_one"), F.max("_page").alias("_other"), F.max(F.col("_page") == SEVERAL).alias("_several"))
+    shared = shared.where("_several or _one <> _other").select("_hash", "_digest")
+    return digest.join(shared, ["_hash", "_digest"]).groupBy("_context").agg(F.min("_at").cast("int").alias("_from"), (F.max("_at") + window).cast("int").alias("_to"))
+
+
 def repeated_in_hosts(streams: DataFrame, window: int) -> DataFrame:
     """Of _key, _host, _stream: for each _key the spans of bytes that another page of the host repeats."""
 
@@ -160,8 +169,9 @@ def repeated_in_hosts(streams: DataFrame, window: int) -> DataFrame:
                 })
 
     every = streams.mapInPandas(found, "_key long, _hash long, _context long, _begin int, _part binary")
-    # equal contexts are one row: whether another page has them too is all that counts
-    each = checkpointed(every.groupBy("_hash", "_context").agg(F.min("_key").alias("_one"), F.max("_key").alias("_other"), F.first("_part").alias("_part")))
+    # equal contexts are one row: which page has them, or that several have, is all that counts
+    page = F.when(F.min("_key") == F.max("_key"), F.min("_key")).otherwise(SEVERAL)
+    each = checkpointed(every.groupBy("_hash", "_context").agg(page.alias("_page"), F.first("_part").alias("_part")))
     groups = each.groupBy("_hash").agg(F.count(F.lit(1)).alias("_different")).where("_different > 1")
 
     def compared(frames):
@@ -170,11 +180,11 @@ def repeated_in_hosts(streams: DataFrame, window: int) -> DataFrame:
         held = 0
 
         def flush():
-            first, last = repeated_windows([x[2] for x in block], window)
+            first, last = repeated_windows([x[2] for x in block], window, [x[0] for x in block], [x[3] for x in block])
             return pd.DataFrame({"_context": [x[1] for x in block], "_from": first, "_to": last + window})[lambda x: x["_from"] >= 0]
 
         for frame in frames:
-            for row in zip(frame["_hash"], frame["_context"], frame["_part"], strict=True):
+            for row in zip(frame["_hash"], frame["_context"], frame["_part"], frame["_page"], strict=True):
                 if group and row[0] != group[-1][0]:
                     block += group
                     held += sum(len(x[2]) for x in group)
@@ -187,14 +197,12 @@ def repeated_in_hosts(streams: DataFrame, window: int) -> DataFrame:
         if block:
             yield flush()
 
-    parts = each.join(groups, "_hash").select("_hash", "_context", "_part", "_different")
-    small = parts.where(F.col("_different") <= LARGEST_GROUP)
+    parts = each.join(groups, "_hash").select("_hash", "_context", "_part", "_page", "_different")
+    small = parts.where(F.col("_different") <= LARGEST_GROUP).drop("_different")
     hits = small.repartition("_hash").sortWithinPartitions("_hash").mapInPandas(compared, "_context long, _from int, _to int")
     if groups.where(F.col("_different") > LARGEST_GROUP).limit(1).count():
-        from tessera.llm.dedup import counted_windows
-
         hits = hits.unionByName(counted_windows(parts.where(F.col("_different") > LARGEST_GROUP), window))
-    whole = each.where("_one <> _other").select("_context", F.lit(0).alias("_from"), F.length("_part").alias("_to"))
+    whole = each.where(F.col("_page") == SEVERAL).select("_context", F.lit(0).alias("_from"), F.length("_part").alias("_to"))
     hits = hits.unionByName(whole).groupBy("_context").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     spans = every.select("_key", "_context", "_begin").join(hits, "_context").select("_key", F.struct((F.col("_begin") + F.col("_from")).alias("start"), (F.col("_begin") + F.col("_to")).alias("end")).alias("span"))
     return spans.groupBy("_key").agg(F.collect_set("span").alias("spans"))

@@ -121,8 +121,27 @@ def common(data: bytes, sa: np.ndarray, depth: int) -> np.ndarray:
     return same
 
 
-def repeated_windows(parts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each part the first and the last start of a window that also stands elsewhere in the parts; (-1, -1) if none."""
+#: The owner of a part that several owners have.
+SEVERAL = 0
+
+
+def of_several(run: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each entry, whether those with the same run and group have two owners at least."""
+    order = np.lexsort((group, run))
+    r, g, o = run[order], group[order], owner[order]
+    start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])])
+    least = np.minimum.reduceat(np.where(o == SEVERAL, np.iinfo(np.int64).min, o), start)
+    most = np.maximum.reduceat(np.where(o == SEVERAL, np.iinfo(np.int64).max, o), start)
+    out = np.zeros(len(run), bool)
+    out[order] = np.repeat(least != most, np.diff(np.r_[start, len(run)]))
+    return out
+
+
+def repeated_windows(parts: list[bytes], window: int, groups: list[int] | None = None, owners: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each part the first and the last start of a window that also stands elsewhere in the parts; (-1, -1) if none.
+
+    With groups and owners of the parts, elsewhere is in a part of the same group and of another owner.
+    """
     data = b"".join(parts)
     size = np.array([len(p) for p in parts], np.int64)
     begin = np.cumsum(size) - size
@@ -134,6 +153,9 @@ def repeated_windows(parts: list[bytes], window: int) -> tuple[np.ndarray, np.nd
     same = common(data, sa, window)
     twice[1:] |= same
     twice[:-1] |= same
+    if owners is not None and twice.any():
+        part, run = which[sa], np.cumsum(np.r_[True, ~same])
+        twice = of_several(run, np.array(groups, np.int64)[part], np.array(owners, np.int64)[part])
     hit = sa[twice]
     first, last = np.full(len(parts), np.iinfo(np.int64).max), np.full(len(parts), -1)
     np.minimum.at(first, which[hit], offset[hit])

@@ -1,6 +1,11 @@
+import random
+from collections import defaultdict
+
 import brute
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import html
 from tessera.llm.chat import format_paths, read_back
 from tessera.llm.html import blocks, extract, op5_html_extraction
 from tessera.llm.chat import op4_chat_format
@@ -28,6 +33,44 @@ def test_the_host_decides_where_no_element_does(spark):
     assert got[9] == notice  # another host: nothing repeats there
 
 
+REFRAIN = "and every evening we sang the same long refrain beside the river until the lamps went out"
+
+
+def test_a_page_does_not_repeat_itself(spark):
+    def page(i):
+        return "".join(f"<p>{' '.join(f'p{i}part{k}w{j}' for j in range(8))} {REFRAIN} {' '.join(f'p{i}end{k}w{j}' for j in range(8))}</p>" for k in range(3))
+
+    pages = [(1, "https://a.example/1", page(1)), (2, "https://a.example/2", page(2).replace(REFRAIN, "nothing")), (3, "https://b.example/3", page(3))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].count(REFRAIN) == got[3].count(REFRAIN) == 3  # of one page each, on hosts of their own
+    pages += [(4, "https://a.example/4", page(4))]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1].count(REFRAIN) == got[4].count(REFRAIN) == 0 and got[3].count(REFRAIN) == 3
+
+
+def host_pages():
+    r = random.Random(5)
+    lines = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(r.randint(6, 16))) for _ in range(60)]
+    return [(i, f"https://h{i % 3}.example/{i}", "".join(f"<p>{' '.join(r.choice(lines) for _ in range(3))}</p>" for _ in range(4))) for i in range(24)]
+
+
+@pytest.mark.parametrize("largest_group", [0, 20_000])
+def test_runs_of_distinct_pages_by_brute_force(spark, monkeypatch, largest_group):
+    monkeypatch.setattr(html, "LARGEST_GROUP", largest_group)
+    pages, owners = host_pages(), defaultdict(set)
+    streams = {i: (url.split("/")[2], html.parsed(page)) for i, url, page in pages}
+    starts = {i: range(len(s.encode()) - html.WINDOW + 1) for i, (_, (_, _, s)) in streams.items()}
+    for i, (host, (_, _, s)) in streams.items():
+        for at in starts[i]:
+            owners[host, s.encode()[at : at + html.WINDOW]].add(i)
+    wanted = {}
+    for i, (host, (texts, undecided, s)) in streams.items():
+        spans = [(at, at + html.WINDOW) for at in starts[i] if len(owners[host, s.encode()[at : at + html.WINDOW]]) > 1]
+        wanted[i] = "\n".join(html.unique_runs(texts, undecided, spans))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == wanted
+
+
 def test_unclosed_and_nested_elements():
     assert [b[0] for b in blocks("<p>a<p>b<div>c<p>d</div>e<td>f<li>g")] == ["a", "b", "c", "d", "e", "f", "g"]
 

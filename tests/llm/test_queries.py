@@ -1,5 +1,6 @@
 """Each registered query over edge cases, against plain Python."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,3 +108,23 @@ def test_op10_likeness_is_generalised_jaccard(spark):
     df = spark.createDataFrame([(1, *texts)], "k int, a string, b string")
     found = fingerprints(df, ["k"], "a", "b", 256).select(likeness(F.col("a"), F.col("b"), 256)).first()[0]
     assert abs(found - true) < 0.1
+
+
+def test_op10_error_of_the_production_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.fingerprints import fingerprints, likeness
+
+    r = random.Random(3)
+    pairs, true = [], {}
+    for k in range(80):
+        first = [f"w{r.randrange(150)}" for _ in range(300)]
+        cut = r.randrange(30, 150)
+        second = first[cut:] + [f"v{r.randrange(150)}" for _ in range(cut)]
+        grams = [Counter(zip(w, w[1:])) for w in (first, second)]
+        true[k] = sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values())
+        pairs.append((k, " ".join(first), " ".join(second)))
+    df = spark.createDataFrame(pairs, "k int, a string, b string")
+    found = fingerprints(df, ["k"], "a", "b").select("k", likeness(F.col("a"), F.col("b"))).collect()
+    assert len(found) == len(pairs)
+    assert np.sqrt(np.mean([(x - true[k]) ** 2 for k, x in found])) < 0.08

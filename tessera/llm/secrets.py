@@ -5,8 +5,9 @@ aggregated over the corpus by distinct repository and owner. A value that severa
 widely copied example; one that stays with a single owner looks live. Candidates of the base kinds
 always stay; those of the added kinds stay where they look live.
 
-Defined cases: a null text is empty; a null owner or repository is one of its own; rows with equal
-ids or equal texts are rows of their own; an empty table gives no rows.
+Defined cases: a null text is empty; a text without an owner is its own owner, so copies of it are of
+one owner; a null repository is one of its own; rows with equal ids or equal texts are
+rows of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str | Co
     """A row for each text: doc and secrets, array of struct<start, order, kind, end, base, owners, repositories, live>."""
     column = lambda c: F.col(c) if isinstance(c, str) else c
     read = numbered(
-        df.select(F.col(doc).alias("_doc"), F.coalesce(column(owner).cast("string"), F.lit("")).alias("_owner"), F.coalesce(column(repository).cast("string"), F.lit("")).alias("_repository"), text_of(text).alias("_text")).select(
+        df.select(F.col(doc).alias("_doc"), F.coalesce(column(owner).cast("string"), F.concat(F.lit("\0"), F.sha2(text_of(text), 256))).alias("_owner"), F.coalesce(column(repository).cast("string"), F.lit("")).alias("_repository"), text_of(text).alias("_text")).select(
             "_doc", "_owner", "_repository", candidates(F.col("_text")).alias("_found")
         )
     )

@@ -190,3 +190,12 @@ def test_spans_added_by_the_methods(spark):
     assert spans[2] == ["email"] and spans[3] == []
     masked = {r.doc_id: r.text for r in redact(df).collect()}
     assert masked[2] == "write to [EMAIL] now" and masked[3] == "nothing to see"
+
+
+def test_texts_without_an_owner_are_not_one_owner(spark):
+    from tessera.llm.secrets import scan
+
+    example, own = "Abcd1234Efgh5678Ijkl9012Mnop", "Zyxw9876Vuts5432Rqpo1098Nmlk"
+    rows = [(i, f"text {i} has {example} in it", None, "r") for i in range(3)] + [(i, f"mine is {own} ok", None, "r") for i in (8, 9)]
+    found = {r.doc_id: [(s.kind, s.owners) for s in r.secrets] for r in scan(spark.createDataFrame(rows, "doc_id long, text string, source string, repository string")).collect()}
+    assert found == {0: [], 1: [], 2: [], 8: [("generic", 1)], 9: [("generic", 1)]}

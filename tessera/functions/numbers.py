@@ -174,10 +174,16 @@ class Real:
         a = Real.wide(a)
         return F.when(a.isin(math.inf, -math.inf) | F.isnan(a), a).otherwise(F.when(a < 0, F.ceil(F.when(F.abs(a) < 9e18, a)).cast("double")).otherwise(F.floor(F.when(F.abs(a) < 9e18, a)).cast("double")))
 
+    @staticmethod
+    def signed(value: Column, a) -> Column:
+        """A zero that a negative number is rounded to keeps its sign."""
+        a = Real.wide(a)
+        return F.when(a == 0, a).when((value == 0) & (a < 0), F.lit(-0.0)).otherwise(value)
+
     @staticmethod
     def whole(a) -> Column:
         """Large values have no fraction."""
-        return F.coalesce(Real.trunc_wide(a), Real.wide(a))
+        return Real.signed(F.coalesce(Real.trunc_wide(a), Real.wide(a)), a)
 
     @staticmethod
     def rem(a, b) -> Column:
@@ -292,7 +298,8 @@ class Real:
     def rounded(a, f) -> Column:
         """f of values small enough to have a fraction, others as they are."""
         a = Real.wide(a)
-        return F.when(Real.is_finite(a) & (F.abs(a) < 2.0**53), f(F.when(Real.is_finite(a) & (F.abs(a) < 2.0**53), a)).cast("double")).otherwise(a)
+        small = Real.is_finite(a) & (F.abs(a) < 2.0**53)
+        return Real.signed(F.when(small, f(F.when(small, a)).cast("double")).otherwise(a), a)
 
     @staticmethod
     def real_floor(a) -> Column:

@@ -14,7 +14,7 @@ DIRECTIVES = {"%": "'%'", "A": "EEEE", "B": "MMMM", "H": "HH", "I": "hh", "M": "
 
 
 def towards_zero(ns: Column, unit: int) -> Column:
-    return ((ns - ns % unit) / F.lit(unit)).cast("long")
+    return F.call_function("div", ns, F.lit(unit).cast("long"))
 
 
 @shared_comparisons

@@ -1,7 +1,6 @@
 """Registry of the library's own queries: name -> (spark, sf_dir) -> DataFrame, and the same as SQL.
 
-Every query reads whole tables; those whose name has a namesake with _whole fold or filter ids afterwards, and the
-namesake doesn't. Integers are bigint and sums of doubles are rounded, so that two engines
+Every query runs over its whole tables. Integers are bigint and sums of doubles are rounded, so that two engines
 can be compared value by value.
 """
 
@@ -22,23 +21,12 @@ from tessera.operators.rel import DESC, Rel, from_
 from tessera.plans import datalog
 from tessera.plans.lang import Session
 from tessera.plans.logic import Recursive, abs_, between, elem, exists, mod, prefix, solve, syms
+from tessera.plans.registry import ORACLES, QUERIES, query
 from tessera.sources.tables import parquet, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "q_group_compute"
 
 
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def big(c):
     return c.cast("bigint")
 
@@ -190,17 +178,21 @@ def q_four_way_join(spark, d):
 
 
 def purchases(spark, d) -> DataFrame:
-    """An edge from each user to each event of a purchase, with the ids of both folded to 60 nodes."""
+    """An edge from each user to each event of a purchase."""
     e = parquet(spark, d, "events").where("event_type = 'purchase'")
-    return e.select((F.col("user_id") % 60).alias("x"), (F.col("event_id") % 60).alias("y")).where("x <> y").distinct()
+    return e.select(F.col("user_id").alias("x"), F.col("event_id").alias("y")).where("x <> y").distinct()
+
 
+EDGES = "SELECT DISTINCT user_id AS x, event_id AS y FROM events WHERE event_type = 'purchase' AND user_id <> event_id"
 
-EDGES = "SELECT DISTINCT user_id % 60 AS x, event_id % 60 AS y FROM events WHERE event_type = 'purchase' AND user_id % 60 <> event_id % 60"
 
+SUPPLIES = "SELECT DISTINCT l_partkey AS x, l_suppkey AS y FROM lineitem WHERE l_partkey <> l_suppkey"
 
-@query(f"WITH e AS ({EDGES}) SELECT a.x AS a, b.x AS b, c.x AS c FROM e a, e b, e c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x AND a.x < b.x AND a.x < c.x")
+
+@query(f"WITH e AS ({SUPPLIES}) SELECT a.x AS a, b.x AS b, c.x AS c FROM e a, e b, e c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x AND a.x < b.x AND a.x < c.x")
 def q_triangles(spark, d):
-    return triangles(purchases(spark, d))
+    """Cycles of three keys, an edge leading from each part to its suppliers' keys."""
+    return triangles(parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")).where("x <> y").distinct())
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -238,9 +230,10 @@ def q_forall_correlated(spark, d):
 
 @query("SELECT CAST(EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS BIGINT) AS any_negative, CAST(NOT EXISTS (SELECT 1 FROM lineitem WHERE NOT (l_quantity > 0)) AS BIGINT) AS all_positive")
 def q_exists_forall(spark, d):
-    e = table(spark, d, "orders", "o").where(lambda o: o.o_totalprice < 0).exists()
-    a = table(spark, d, "lineitem", "l").forall(lambda l: l.l_quantity > 0)
-    return spark.createDataFrame([(int(e), int(a))], "any_negative bigint, all_positive bigint")
+    negative = table(spark, d, "orders", "o").where(lambda o: o.o_totalprice < 0).group({}, {"n": lambda: agg.non_empty()}).result()
+    others = table(spark, d, "lineitem", "l").where(lambda l: ~(l.l_quantity > 0)).group({}, {"n": lambda: agg.empty()}).result()
+    both = negative.select(flag(F.col("n")).alias("v"), F.lit("e").alias("k")).unionByName(others.select(flag(F.col("n")).alias("v"), F.lit("a").alias("k")))
+    return both.agg(F.max(F.when(F.col("k") == "e", F.col("v"))).alias("any_negative"), F.max(F.when(F.col("k") == "a", F.col("v"))).alias("all_positive"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
@@ -361,13 +354,12 @@ def q_ordinal_filter(spark, d):
     return table(spark, d, "supplier", "s").order(lambda s: (s.s_name, s.s_suppkey)).ordinal().where(lambda ordinal: ordinal % 10 == 3).yield_(lambda s: {"s_suppkey": s.s_suppkey}).result()
 
 
-SETS = "(SELECT c_nationkey AS k FROM customer)", "(SELECT s_nationkey AS k FROM supplier)", "(SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3)"
+SETS = "(SELECT o_custkey AS k FROM orders)", "(SELECT l_suppkey AS k FROM lineitem)", "(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')"
 
 
 def key_sets(spark, d) -> list[Rel]:
-    named = lambda t, v, f: table(spark, d, t, v).yield_(lambda **x: {"k": x[v][f]})
-    third = table(spark, d, "nation", "n").where(lambda n: n.n_regionkey < 3).yield_(lambda n: {"k": n.n_nationkey})
-    return [named("customer", "c", "c_nationkey"), named("supplier", "s", "s_nationkey"), third]
+    finished = table(spark, d, "orders", "o").where(lambda o: o.o_orderstatus == "F")
+    return [table(spark, d, "orders", "o").yield_(lambda o: {"k": o.o_custkey}), table(spark, d, "lineitem", "l").yield_(lambda l: {"k": l.l_suppkey}), finished.yield_(lambda o: {"k": o.o_custkey})]
 
 
 for _name, _method, _distinct, _op in (
@@ -387,10 +379,10 @@ for _name, _method, _distinct, _op in (
     ORACLES[f"q_{_name}"] = f"SELECT * FROM ({SETS[0]} {_op} {SETS[1]}) {_op} {SETS[2]}"
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS k FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 EXCEPT ALL SELECT s_suppkey FROM supplier)")
+@query("SELECT CAST(c_custkey AS BIGINT) AS k FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT s_suppkey FROM supplier)")
 def q_ordered_except(spark, d):
     """Of a list the earliest go; the rest keeps its order."""
-    return without_suppliers(spark, d, table(spark, d, "customer", "c").where(lambda c: c.c_custkey % 3 == 0))
+    return without_suppliers(spark, d, table(spark, d, "customer", "c"))
 
 
 def without_suppliers(spark, d, customers: Rel) -> DataFrame:
@@ -443,7 +435,11 @@ def hops(spark, e: DataFrame) -> DataFrame:
     return Rel.bag(reached, "r").group(["r.y"], {"hops": lambda r: agg.min_(r.hops)}).result()
 
 
-PATHS = f"WITH RECURSIVE e AS ({EDGES}), t(x, y) AS (SELECT x, y FROM e WHERE x < 20 AND y < 20 UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x WHERE e.y < 20 AND e.x < 20)"
+PATHS = f"WITH RECURSIVE e AS ({EDGES}), t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x)"
+
+
+def pairs(relations: dict, name: str) -> DataFrame:
+    return relations[name].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
 
 
 @query(f"{PATHS} SELECT x, y FROM t")
@@ -451,27 +447,26 @@ def q_datalog_closure(spark, d):
     program = """
         .decl edge(x:int, y:int)
         .decl path(x:int, y:int)
-        path(X, Y) :- edge(X, Y), X < 20, Y < 20.
+        path(X, Y) :- edge(X, Y).
         path(X, Z) :- path(X, Y), path(Y, Z).
         .output path
     """
-    return datalog.execute(spark, program, {"edge": purchases(spark, d)})["path"].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return pairs(datalog.execute(spark, program, {"edge": purchases(spark, d)}), "path")
 
 
-@query(f"{PATHS}, nodes AS (SELECT DISTINCT x AS n FROM e WHERE x < 20) SELECT a.n AS x, b.n AS y FROM nodes a, nodes b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.x = a.n AND t.y = b.n)")
+@query(f"{PATHS} SELECT x, y FROM t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.x = t.x AND e.y = t.y) AND NOT EXISTS (SELECT 1 FROM t u WHERE u.x = t.y AND u.y = t.x)")
 def q_datalog_negation(spark, d):
+    """Paths of several edges without a way back: a stratum that negates a recursive one."""
     program = """
         .decl edge(x:int, y:int)
         .decl path(x:int, y:int)
-        .decl node(n:int)
-        .decl apart(x:int, y:int)
-        node(X) :- edge(X, _), X < 20.
-        path(X, Y) :- edge(X, Y), X < 20, Y < 20.
-        path(X, Z) :- path(X, Y), edge(Y, Z), Y < 20, Z < 20.
-        apart(X, Y) :- node(X), node(Y), !path(X, Y).
-        .output apart
+        .decl oneway(x:int, y:int)
+        path(X, Y) :- edge(X, Y).
+        path(X, Z) :- path(X, Y), edge(Y, Z).
+        oneway(X, Y) :- path(X, Y), !edge(X, Y), !path(Y, X).
+        .output oneway
     """
-    return datalog.execute(spark, program, {"edge": purchases(spark, d)})["apart"].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return pairs(datalog.execute(spark, program, {"edge": purchases(spark, d)}), "oneway")
 
 
 @query("SELECT DISTINCT n_name AS nation, r_name AS region, CAST(n_nationkey * 2 + 1 AS BIGINT) AS code FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
@@ -487,19 +482,19 @@ def q_datalog_join(spark, d):
     return found.withColumn("code", F.col("code").cast("bigint"))
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), odd(x, y, p) AS (SELECT x, y, 1 FROM e WHERE x < 12 AND y < 12 UNION SELECT o.x, e.y, 1 - o.p FROM odd o JOIN e ON o.y = e.x WHERE e.x < 12 AND e.y < 12) SELECT x, y FROM odd WHERE p = 0")
+@query(f"WITH RECURSIVE e AS ({EDGES}), odd(x, y, p) AS (SELECT x, y, 1 FROM e UNION SELECT o.x, e.y, 1 - o.p FROM odd o JOIN e ON o.y = e.x) SELECT x, y FROM odd WHERE p = 0")
 def q_datalog_mutual(spark, d):
     """Two relations that need each other: paths of an odd and of an even length."""
     program = """
         .decl e(x:int, y:int)
         .decl odd(x:int, y:int)
         .decl even(x:int, y:int)
-        odd(X, Y) :- e(X, Y), X < 12, Y < 12.
-        odd(X, Z) :- even(X, Y), e(Y, Z), Z < 12.
-        even(X, Z) :- odd(X, Y), e(Y, Z), Z < 12.
+        odd(X, Y) :- e(X, Y).
+        odd(X, Z) :- even(X, Y), e(Y, Z).
+        even(X, Z) :- odd(X, Y), e(Y, Z).
         .output even
     """
-    return datalog.execute(spark, program, {"e": purchases(spark, d)})["even"].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return pairs(datalog.execute(spark, program, {"e": purchases(spark, d)}), "even")
 
 
 @query("SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM range(1, 40) a(x), range(1, 40) b(y) WHERE x + y = 40 AND x < y")
@@ -537,11 +532,10 @@ def either_end(e: DataFrame) -> DataFrame:
     return solve(["k"], elem((k, 7), e) | elem((3, k), e) | (k == 99)).select(F.col("k").cast("bigint").alias("k"))
 
 
-@query(f"{PATHS} SELECT x, y FROM t WHERE x < 5")
+@query(f"{PATHS} SELECT x, y FROM t")
 def q_unbounded_closure(spark, d):
-    path = path_of(purchases(spark, d).where("x < 20 and y < 20"))
     x, y = syms("x y")
-    return solve(["x", "y"], path(x, y) & (x < 5))
+    return solve(["x", "y"], path_of(purchases(spark, d))(x, y))
 
 
 def path_of(e: DataFrame) -> Recursive:
@@ -561,101 +555,6 @@ def q_unbounded_mod(spark, d):
     return solve(["x"], between(x, 0, 29) & ((mod(x, 7) == 3) | (x == 5))).select(F.col("x").cast("bigint").alias("x"))
 
 
-# ---------------------------------------------------------------- the same on whole ids: no folded nodes and no id filters
-
-
-def whole_purchases(spark, d) -> DataFrame:
-    """An edge from each user to each event of a purchase, ids as they are."""
-    e = parquet(spark, d, "events").where("event_type = 'purchase'")
-    return e.select(F.col("user_id").alias("x"), F.col("event_id").alias("y")).where("x <> y").distinct()
-
-
-WHOLE_EDGES = "SELECT DISTINCT user_id AS x, event_id AS y FROM events WHERE event_type = 'purchase' AND user_id <> event_id"
-WHOLE_PATHS = f"WITH RECURSIVE e AS ({WHOLE_EDGES}), t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x)"
-
-
-@query(f"WITH e AS ({WHOLE_EDGES}) SELECT a.x AS a, b.x AS b, c.x AS c FROM e a, e b, e c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x AND a.x < b.x AND a.x < c.x")
-def q_triangles_whole(spark, d):
-    return triangles(whole_purchases(spark, d))
-
-
-@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
-def q_iterate_closure_whole(spark, d):
-    return closure(whole_purchases(spark, d))
-
-
-@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), t(y, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.y, t.hops + 1 FROM t JOIN e ON t.y = e.x WHERE t.hops < 4) SELECT y, CAST(min(hops) AS BIGINT) AS hops FROM t GROUP BY y")
-def q_iterate_hops_whole(spark, d):
-    return hops(spark, whole_purchases(spark, d))
-
-
-def pairs(relations: dict, name: str) -> DataFrame:
-    return relations[name].select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
-
-
-@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
-def q_datalog_closure_whole(spark, d):
-    program = """
-        .decl edge(x:int, y:int)
-        .decl path(x:int, y:int)
-        path(X, Y) :- edge(X, Y).
-        path(X, Z) :- path(X, Y), path(Y, Z).
-        .output path
-    """
-    return pairs(datalog.execute(spark, program, {"edge": whole_purchases(spark, d)}), "path")
-
-
-@query(f"{WHOLE_PATHS}, nodes AS (SELECT DISTINCT x AS n FROM e) SELECT a.n AS x, b.n AS y FROM nodes a, nodes b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.x = a.n AND t.y = b.n)")
-def q_datalog_negation_whole(spark, d):
-    program = """
-        .decl edge(x:int, y:int)
-        .decl path(x:int, y:int)
-        .decl node(n:int)
-        .decl apart(x:int, y:int)
-        node(X) :- edge(X, _).
-        path(X, Y) :- edge(X, Y).
-        path(X, Z) :- path(X, Y), edge(Y, Z).
-        apart(X, Y) :- node(X), node(Y), !path(X, Y).
-        .output apart
-    """
-    return pairs(datalog.execute(spark, program, {"edge": whole_purchases(spark, d)}), "apart")
-
-
-@query(f"WITH RECURSIVE e AS ({WHOLE_EDGES}), odd(x, y, p) AS (SELECT x, y, 1 FROM e UNION SELECT o.x, e.y, 1 - o.p FROM odd o JOIN e ON o.y = e.x) SELECT x, y FROM odd WHERE p = 0")
-def q_datalog_mutual_whole(spark, d):
-    program = """
-        .decl e(x:int, y:int)
-        .decl odd(x:int, y:int)
-        .decl even(x:int, y:int)
-        odd(X, Y) :- e(X, Y).
-        odd(X, Z) :- even(X, Y), e(Y, Z).
-        even(X, Z) :- odd(X, Y), e(Y, Z).
-        .output even
-    """
-    return pairs(datalog.execute(spark, program, {"e": whole_purchases(spark, d)}), "even")
-
-
-@query(f"WITH e AS ({WHOLE_EDGES}) SELECT DISTINCT a.x AS x, b.y AS z FROM e a JOIN e b ON a.y = b.x WHERE a.x < b.y")
-def q_unbounded_elem_whole(spark, d):
-    return two_steps(whole_purchases(spark, d))
-
-
-@query(f"WITH e AS ({WHOLE_EDGES}) SELECT DISTINCT k FROM (SELECT x AS k FROM e WHERE y = 7 UNION SELECT y FROM e WHERE x = 3 UNION SELECT CAST(99 AS BIGINT))")
-def q_unbounded_orelse_whole(spark, d):
-    return either_end(whole_purchases(spark, d))
-
-
-@query(f"{WHOLE_PATHS} SELECT x, y FROM t")
-def q_unbounded_closure_whole(spark, d):
-    x, y = syms("x y")
-    return solve(["x", "y"], path_of(whole_purchases(spark, d))(x, y))
-
-
-@query("SELECT CAST(c_custkey AS BIGINT) AS k FROM (SELECT c_custkey FROM customer EXCEPT ALL SELECT s_suppkey FROM supplier)")
-def q_ordered_except_whole(spark, d):
-    return without_suppliers(spark, d, table(spark, d, "customer", "c"))
-
-
 # ---------------------------------------------------------------- the library
 
 

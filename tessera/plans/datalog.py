@@ -15,6 +15,7 @@ every combination of new and known rows is formed; relations may be mutually rec
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.errors import RelError
+from tessera.operators.fixpoint import MERGE
 from tessera.operators.shared import checkpointed
 
 TOKEN = re.compile(r"\s+|//[^\n]*|/\*.*?\*/|(?P<dir>\.(?:decl|input|output)\b)|(?P<str>\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>:-|!=|<=|>=|[-(),.:!=<>+*/])", re.S)
@@ -394,7 +396,7 @@ def evaluate(r: Rule, relation, columns: list[tuple[str, str]]) -> DataFrame:
     return df.select(*(expression(x).cast(SPARK_TYPES[kind]).alias(n) for x, (n, kind) in zip(r.head.args, columns, strict=True)))
 
 
-def solve(spark: SparkSession, p: Program, given: dict[str, DataFrame] | None = None, folder: str = ".", most_rounds: int = 1000) -> dict[str, DataFrame]:
+def solve(spark: SparkSession, p: Program, given: dict[str, DataFrame] | None = None, folder: str = ".") -> dict[str, DataFrame]:
     """Every relation of a checked program. given: rows of relations that are DataFrames already."""
     from tessera.sources.tables import strict
 
@@ -423,7 +425,7 @@ def solve(spark: SparkSession, p: Program, given: dict[str, DataFrame] | None =
             continue
         total = {n: checkpointed(known[n]) for n in group}
         new = dict(total)
-        for _ in range(most_rounds):
+        for rounds in itertools.count(1):  # until a round finds no new fact
             made: dict[str, DataFrame] = {}
             for r in rules:
                 for at in recursive[id(r)]:  # one term for each recursive atom: it reads the new rows, the others all
@@ -432,10 +434,10 @@ def solve(spark: SparkSession, p: Program, given: dict[str, DataFrame] | None =
             fresh = {n: checkpointed(made[n].distinct().join(total[n], total[n].columns, "left_anti").select(*total[n].columns)) if n in made else total[n].limit(0) for n in group}
             if all(d.isEmpty() for d in fresh.values()):
                 break
-            total = {n: checkpointed(total[n].unionByName(fresh[n])) for n in group}
+            total = {n: total[n].unionByName(fresh[n]) for n in group}
+            if rounds % MERGE == 0:  # the rounds' tables are read one by one until then
+                total = {n: checkpointed(x) for n, x in total.items()}
             new = fresh
-        else:
-            raise DatalogError(f"no fixpoint after {most_rounds} rounds")
         known |= total
     return known
 

@@ -31,15 +31,18 @@ from tessera.llm.suffix import SEVERAL, repeated_windows
 #: Bytes of token stream that distinct pages must share.
 WINDOW = 48
 LARGEST_GROUP, PART = 20_000, 1 << 18
+#: Comments; the elements whose content is raw text to every browser, up to their end tag or the page's end; declarations; tags.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title|noembed|noframes|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-UNWANTED = {"nav", "footer", "aside", "form", "menu", "dialog"}
+UNWANTED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "svg", "noscript", "template", "object"}
+#: Elements of running text: a class alone doesn't make one inside an article a notice or a list of links.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "blockquote", "span", "em", "strong", "b", "i", "a", "code", "q"}
 #: An open element that the start of one of these ends.
-ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+ENDED_BY = {"head": BLOCKS, "button": BLOCKS, "select": BLOCKS, "option": BLOCKS, "svg": BLOCKS, "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|footer|comments?|disqus|respond|share|social|related|widget|toolbar|search|skip)(?:$|[\s_-])",
@@ -48,6 +51,21 @@ NAMES = re.compile(
 MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
 
 
+#: What an open paragraph or head doesn't reach beyond.
+BOUNDARY = {"table", "td", "th", "div", "section", "article", "main", "aside", "blockquote", "body", "form", "li", "ul", "ol"}
+
+
+def ends_one(name: str, stack: list[tuple[str, bool, bool]]) -> bool:
+    """Whether the start of an element ends the innermost open one, itself or as part of one that it ends."""
+    for i in range(len(stack) - 1, -1, -1):
+        open_ = stack[i][0]
+        if name in ENDED_BY.get(open_, ()):
+            return True
+        if open_ in BOUNDARY:
+            return False
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside an article or main element, unwanted) of each block, in page order."""
     found: list[tuple[str, bool, bool]] = []
@@ -83,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in BLOCKS:
             flush()
-            while stack and name in ENDED_BY.get(stack[-1][0], ()) or (stack and name in BLOCKS and any(x[0] == "p" for x in stack)):
+            while ends_one(name, stack):
                 stack.pop()
         if name in VOID or m[4].endswith("/"):
             continue
@@ -91,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         attributes = m[4]
         named = any(NAMES.search(a or b or c or "") for a, b, c in NAMED.findall(attributes)) if attributes else False
         is_main = name in ("article", "main") or bool(attributes and MAIN_ROLE.search(attributes))
-        unwanted = unwanted or name in UNWANTED or (name == "header" and not main) or (named and name not in ("body", "html"))
+        unwanted = unwanted or name in UNWANTED or (name == "header" and not main) or (named and name not in ("body", "html") and not (main and name in PROSE))
         stack.append((name, main or (is_main and not unwanted), unwanted))
     if at < len(page):
         rest = page[at:]

@@ -112,3 +112,29 @@ def test_reply_trees(spark):
     assert got == {("t", 1): (4, ["a", "b", "d"]), ("t", 2): (6, ["a", "c", "e", "f"]), ("u", 1): (1, ["x"])}
     for r in made.collect():
         assert "".join(r.formatted[m.start : m.end] for m in r.loss_mask) == "".join(t.text for t in r.turns if t.role == "assistant")
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<html><head><title>t</title><body><article><p>hello</p></article>", "hello"),
+        ("<html><head><title>t</title><meta charset=x><article><p>hello</p></article>", "hello"),
+        ("<title>not text</title><article><p>hello</p></article>", "hello"),
+        ("<article><p>one</p><button>press<p>two</p><select><option>x<p>three</p><svg><path/><p>four</p></article>", "one\ntwo\nthree\nfour"),
+        ("<article><p class=notice>a notice of text</p><p class='related-work'>work</p><div class=notice><p>gone</p></div></article>", "a notice of text\nwork"),
+        ("<article><p>one<div><p>two</div><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "one\ntwo\na\nb\nc\nd"),
+        ("<article><p>one</p><script>if (a < b) { x = '<p>no</p>' }</script><textarea>t</textarea><p>two</article>", "one\ntwo"),
+        ("<article><p>" + "word " * 300_000 + "</p></article>", ("word " * 300_000).strip()),
+    ],
+)
+def test_unclosed_and_named_elements(page, wanted):
+    assert "\n".join(html.parsed(page)[0]) == wanted
+
+
+def test_other_columns_of_pages_and_turns(spark):
+    rows = [(1, "http://h/x", "<article><p>a</p></article>", "k", "t", None), (1, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _key string, text string, _host string")
+    assert sorted((r.page_id, r.text) for r in extract(df).collect()) == [(1, ""), (1, "a")]
+    turns = spark.createDataFrame([(1, 1, None, "user", "x" * 400_000, 1, "!"), (1, 2, 1, "assistant", None, 1, "!")], "c long, node long, parent long, role string, text string, score int, turns string")
+    got = format_paths(turns, "c").collect()
+    assert len(got) == 1 and len(got[0].formatted) == 400_000 + len("### User: </turn>\n### Assistant: </turn>\n")

@@ -11,7 +11,8 @@ them, and dropping each backslash before a character undoes it.
 
 Defined cases: a null text or role is empty; a parent that isn't there makes its child a root; of equal
 scores the smaller leaf is chosen; rows that repeat a node of a tree are an error of the input and all
-formatted, at one place; a cycle has no root and is left out; an empty table gives no rows.
+formatted, at one place; a cycle has no root and is left out; other columns are not carried, whatever their
+names; a very long text or conversation is one row and must fit a task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table
+from tessera.llm.common import checkpointed, gathered, table
 
 BACKSLASH = "\\"
 #: Roles and how a turn's mark names them.
@@ -88,15 +89,11 @@ def format_paths(df: DataFrame, tree: str, node: str = "node", parent: str = "pa
     turns = walk.join(said, walk[tree].eqNullSafe(said["t2"]) & (walk[node] == said["n2"])).select(tree, "leaf", "rank", F.struct("place", "_role", "_text").alias("turn"))
     path = turns.groupBy(tree, "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     parts = F.transform("turns", lambda x: F.struct(F.concat(F.lit("### "), label(x["_role"]), F.lit(": ")).alias("head"), escaped(x["_text"]).alias("body"), (x["_role"] == "assistant").alias("loss")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def mark(done: Column, x: Column) -> Column:
-        start = done["at"] + F.char_length(x["head"])
+    def mark(at: Column, x: Column) -> tuple:
+        start = at + F.char_length(x["head"])
         end = start + F.char_length(x["body"])
-        return F.struct(
-            (end + len(END)).alias("at"),
-            F.when(x["loss"], F.concat(done["mask"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(done["mask"]).alias("mask"),
-        )
+        return end + len(END), F.struct(start.alias("start"), end.alias("end")), x["loss"]
 
     made = path.select(tree, "leaf", "rank", parts.alias("parts"))
     return made.select(
@@ -104,7 +101,7 @@ def format_paths(df: DataFrame, tree: str, node: str = "node", parent: str = "pa
         "leaf",
         "rank",
         F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("parts", F.struct(F.lit(0).alias("at"), none.alias("mask")), mark, lambda done: done["mask"]).alias("loss_mask"),
+        gathered(F.col("parts"), "struct<start:int,end:int>", mark)["found"].alias("loss_mask"),
     )
 
 
@@ -121,7 +118,7 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     """Every conversation and one with control strings, each turn a reply to the one before it."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     order = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     nodes = rows.unionByName(extra).withColumn("node", order.cast("long")).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.char_length("text"))
     made = format_paths(nodes, "conv_id")

@@ -59,3 +59,29 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
 def once(value: Column, body) -> Column:
     """body(value) where value is computed once: a lambda's variable isn't expanded as a column is."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Elements after which what was gathered is appended to the rest: appending one by one would copy all of it each time.
+RUN = 512
+
+
+def gathered(items: Column, kind: str, step) -> Column:
+    """Elements made of an array's items one after another, with a running number: struct<at: int, found: array<kind>>.
+
+    step(at, item) gives the next number, the item's element, and whether it has one (None: it has).
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(done: Column, x: Column) -> Column:
+        at, element, there = step(done["at"], x)
+        grown = F.concat(done["found"], F.array(element))
+        return F.struct(at.alias("at"), (grown if there is None else F.when(there, grown).otherwise(done["found"])).alias("found"))
+
+    def run(done: Column, part: Column) -> Column:
+        return once(F.aggregate(part, F.struct(done["at"].alias("at"), none.alias("found")), one), lambda r: F.struct(r["at"].alias("at"), F.concat(done["found"], r["found"]).alias("found")))
+
+    def all_(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / RUN).cast("int")), lambda i: F.slice(x, i * RUN + 1, F.lit(RUN)))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("found")), run)
+
+    return once(items, all_)

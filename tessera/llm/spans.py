@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.llm.common import gathered
+
 SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
@@ -24,13 +26,12 @@ def matches(text: Column, pattern: str, context: int = 0) -> Column:
             lambda hit, gap: F.struct(hit.alias("hit"), F.char_length(gap).alias("gap"), (F.substring(gap, -context, context) if context else F.lit("")).alias("before")),
         )
 
-        def step(done: Column, x: Column) -> Column:
-            start = done["at"] + x["gap"]
+        def step(at: Column, x: Column) -> tuple:
+            start = at + x["gap"]
             end = start + F.char_length(x["hit"])
-            span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), x["before"].alias("before"))
-            return F.struct(end.alias("at"), F.concat(done["found"], F.array(span)).alias("found"))
+            return end, F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), x["before"].alias("before")), None
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda done: done["found"])
+        return gathered(pairs, SPAN, step)["found"]
 
     return F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(none))[0]
 

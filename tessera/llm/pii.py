@@ -7,7 +7,8 @@ the labelers' reliabilities and each vote pattern's posterior. A naive Bayes spa
 trained on those posteriors and decides over the added kinds; spans of the base kinds always stay.
 
 Defined cases: a null text is empty; rows with equal ids are rows of their own; where no span is
-found nothing is trained and nothing added; an empty table gives no rows.
+found nothing is trained and nothing added; a very long text is one row and must fit a task; ``detect``
+gives its id and spans alone and ``redact`` keeps all columns, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table, text_of
+from tessera.llm.common import checkpointed, gathered, once, table, text_of
 from tessera.llm.spans import free_of, listed, matches
 
 #: Dots between label characters and separators between digits are marked by these, so that a run is one character class and no group is repeated.
@@ -32,7 +33,7 @@ BASE = {
 ADDED = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "person": r"(?<![\p{L}])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.\x20)?\p{Lu}\p{Ll}{1,20}\x20\p{Lu}\p{Ll}{1,20}(?![\p{L}])",
+    "person": r"(?<![\p{L}])(?!(?:Dear|Signed|Contact|Author)\x20)(?:(?:Mr|Mrs|Ms|Dr|Prof)\.\x20)?\p{Lu}\p{Ll}{1,20}\x20\p{Lu}\p{Ll}{1,20}(?![\p{L}])",
 }
 KINDS = [*BASE, *ADDED]
 #: Given names, and the words near personal data.
@@ -48,6 +49,12 @@ CUES = {
     "iban": "iban|account|bank",
     "person": "name|dear|from|by|signed|contact|author",
 }
+#: What stands right before a name that isn't known.
+INTRODUCED = r"(?i)(?:\b(?:full\s)?name\s*[:=]|\bdear|\bsigned\s*[:,]|\bsincerely,|\bregards,|\bcontact\s*:|\bauthor\s*:)\s{0,3}$"
+#: The beginnings of card numbers by issuer, country calling codes, and country codes of bank accounts.
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
+CALLING_CODES = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+BANK_COUNTRIES = "^(?:AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)"
 CONTEXT, MAX_ROUNDS = 40, 50
 
 
@@ -88,14 +95,18 @@ def votes(kind: str, value: Column, before: Column) -> dict[str, Column]:
         "phone": vote(value.rlike(r"^\+[1-9]"), value.rlike(r"^\+0")),
         "ssn": vote(~value.rlike("^(000|666|9)|-00-|-0000$"), value.rlike("^(000|666|9)|-00-|-0000$")),
         "iban": vote(F.char_length(value).between(15, 34) & value.rlike("[0-9]{6}"), ~value.rlike("[0-9]{6}")),
-        "person": vote(value.rlike(TITLES), ~value.rlike(TITLES)),
+        "person": vote(value.rlike(TITLES), value.rlike(r"^(?:The|This|That|These|And|But|For|With|From|New|United)\x20")),
     }[kind]
     gazetteer = {
         "email": vote(value.rlike(PROVIDERS)),
         "ip": vote(F.lit(False), value.rlike(r"^(10|192\.168)\.")),
-        "person": vote(F.regexp_replace(value, r"^\w+\.\x20", "").rlike(rf"^(?:{'|'.join(GIVEN_NAMES)})\x20"), ~F.regexp_replace(value, r"^\w+\.\x20", "").rlike(rf"^(?:{'|'.join(GIVEN_NAMES)})\x20")),
+        "card": vote(value.rlike(ISSUERS), ~value.rlike(ISSUERS)),
+        "phone": vote(value.rlike(CALLING_CODES), ~value.rlike(CALLING_CODES)),
+        "iban": vote(value.rlike(BANK_COUNTRIES), ~value.rlike(BANK_COUNTRIES)),
+        # a name that the list doesn't hold may be one all the same
+        "person": vote(F.regexp_replace(value, r"^\w+\.\x20", "").rlike(rf"^(?:{'|'.join(GIVEN_NAMES)})\x20")),
     }.get(kind, F.lit(0))
-    context = vote(before.rlike(f"(?i)(?:{CUES[kind]})[^\\n]{{0,15}}$"), before.rlike(r"[0-9]\.?\x20?$") if kind != "person" else before.rlike(r"(?:^|[.!?])\s*$"))
+    context = vote(before.rlike(f"(?i)(?:{CUES[kind]})[^\\n]{{0,15}}$"), before.rlike(r"[0-9]\.?\x20?$") if kind != "person" else before.rlike(r"[.!?]\s*$"))
     return {"form": form, "gazetteer": gazetteer, "context": context}
 
 
@@ -122,8 +133,8 @@ def candidates(text: Column) -> Column:
         found = matches(views.get(name, plain), pattern, CONTEXT)
         restored = lambda s: F.translate(s["value"], SEP + DOT, " .")
         found = F.filter(found, lambda s: valid(name, restored(s)))
-        if name == "person":  # only where a title or a known name proposes it: two capitalised words alone are prose
-            found = F.filter(found, lambda s: s["value"].rlike(TITLES) | s["value"].rlike(rf"^(?:{'|'.join(GIVEN_NAMES)})\x20"))
+        if name == "person":  # where a title, a known name or what introduces it proposes it: two capitalised words alone are prose
+            found = F.filter(found, lambda s: s["value"].rlike(TITLES) | s["value"].rlike(rf"^(?:{'|'.join(GIVEN_NAMES)})\x20") | s["before"].rlike(INTRODUCED))
         return F.transform(
             found,
             lambda s: F.struct(
@@ -207,15 +218,11 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     choose = chooser(df.select(candidates(t).alias("_found")), "_found")
 
     def masked(spans: Column) -> Column:
-        def step(done: Column, s: Column) -> Column:
-            fresh = F.concat(F.substring(t, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            return F.struct(
-                F.greatest(done["at"], s["end"]).alias("at"),
-                F.when(s["start"] >= done["at"], F.concat(done["parts"], F.array(fresh))).otherwise(done["parts"]).alias("parts"),  # a span that overlaps the one before is part of its mask
-            )
-
-        none = F.array().cast("array<string>")
-        return F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("parts")), step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(t, done["at"] + 1, F.char_length(t))))
+        def step(at: Column, s: Column) -> tuple:
+            fresh = F.concat(F.substring(t, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.greatest(at, s["end"]), fresh, s["start"] >= at  # a span that overlaps the one before is part of its mask
+
+        return once(gathered(spans, "string", step), lambda done: F.concat(F.array_join(done["found"], ""), F.substring(t, done["at"] + 1, F.char_length(t))))
 
     return df.withColumn(text, F.transform(F.array(choose(candidates(t))), lambda spans: F.when(F.size(spans) > 0, masked(spans)).otherwise(F.col(text)))[0])
 

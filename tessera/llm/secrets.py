@@ -7,7 +7,8 @@ always stay; those of the added kinds stay where they look live.
 
 Defined cases: a null text is empty; a text without an owner is its own owner, so copies of it are of
 one owner; a null repository is one of its own; rows with equal ids or equal texts are
-rows of their own; an empty table gives no rows.
+rows of their own; a very long text is one row and must fit a task; other columns are not carried, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, table, text_of
+from tessera.llm.common import checkpointed, numbered, table, text_of
 from tessera.llm.spans import free_of, listed, matches
 
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -71,6 +72,7 @@ def scan(df: DataFrame, doc: str = "doc_id", text: str = "text", owner: str | Co
     # a row for each value, owner and repository first: a value that is everywhere is counted before it is shuffled
     held = one.groupBy(F.col("s.key").alias("key"), "_owner", "_repository").agg(F.count(F.lit(1)).alias("n"))
     spread = held.groupBy("key", "_owner").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    spread = checkpointed(spread)  # written first: a join of two plain exchanges is one whose hot values can be split
     judged = one.select("_row", "s", F.col("s.key").alias("key")).join(spread, "key")
     live = F.col("owners") <= max_owners
     found = judged.where(F.col("s.base") | live).groupBy("_row").agg(

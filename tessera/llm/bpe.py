@@ -5,7 +5,9 @@ array; pairs' ranks come by binary search over the sorted pair keys, and each ro
 occurrences of every word's lowest-rank pair. What was met before comes from a bounded cache.
 
 Defined cases: a null or empty text has no ids; a string of a special token inside a text is
-that token, as in the tokenizers library; ids outside the vocabulary decode to nothing.
+that token, as in the tokenizers library; ids outside the vocabulary decode to nothing; rows with equal ids are
+rows of their own; a very long text is encoded whole; other columns stay, whatever their names, but for one that
+is called like the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
 
-#: Of each of two generations; a chunk that isn't met again is dropped.
-CACHE_CHUNKS = 400_000
+#: Of each of two generations; a chunk that isn't met again is dropped. Longer chunks are encoded each time.
+CACHE_BYTES, CACHED_CHARACTERS = 48 << 20, 64
+#: What Python keeps for a chunk beside its characters and ids.
+ENTRY_BYTES = 200
 #: Characters outside these ranges are newer in some libraries' Unicode tables than in others'; texts with one are split by the tokenizers library's own rules.
 SETTLED = regex.compile(r"[\x00-\u0557\u0900-\u0bff\u1e00-\u208e\u20a0-\u9fff\uac00-\ud7ff\ufe00-\ufffc]*+")
 BATCH_WORDS = 20_000
@@ -67,6 +71,7 @@ class WordBPE:
         self.product[self.ranks] = self.merged
         self.old: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
+        self.young_bytes = 0
         self.control = regex.compile(r"[\x1c-\x1f]")
         self.byte = {c: i for i, c in enumerate(symbols)}
         from tokenizers import Tokenizer
@@ -142,16 +147,19 @@ class WordBPE:
         if None not in found:
             return found
         missing = {c for c, x in zip(chunks, found) if x is None}
-        self.young |= {c: self.old[c] for c in missing if c in self.old}
-        if new := [c for c in missing if c not in self.young]:
+        known = {c: self.old[c] for c in missing if c in self.old}
+        if new := [c for c in missing if c not in known]:
             words = [self.pieces(c) for c in new]
             different = list({w for x in words for w in x})
             ids: dict[str, bytes] = {}
             for i in range(0, len(different), BATCH_WORDS):
                 part = different[i : i + BATCH_WORDS]
                 ids |= zip(part, self.merge_words(part), strict=True)
-            self.young |= {c: b"".join(map(ids.__getitem__, x)) for c, x in zip(new, words, strict=True)}
-        return list(map(self.young.__getitem__, chunks))
+            known |= {c: b"".join(map(ids.__getitem__, x)) for c, x in zip(new, words, strict=True)}
+        short = {c: x for c, x in known.items() if len(c) <= CACHED_CHARACTERS}
+        self.young |= short
+        self.young_bytes += sum(len(c) + len(x) for c, x in short.items()) + ENTRY_BYTES * len(short)
+        return [x if x is not None else known[c] for c, x in zip(chunks, found, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
@@ -161,8 +169,8 @@ class WordBPE:
         flat = [c for ps in chunks for i, cs in enumerate(ps) if i % 2 == 0 for c in cs]
         ids = iter(self.ids_of(flat))
         out = [b"".join(b"".join(itertools.islice(ids, len(cs))) if i % 2 == 0 else fixed[cs[0]] for i, cs in enumerate(ps)) for ps in chunks]
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
+        if self.young_bytes > CACHE_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
         return out
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -185,7 +193,7 @@ CHUNK = 64
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with its texts' ids in a column ids (array of int) in place of the text; every other column stays."""
+    """df with its texts' ids in a column ids (array of int) in place of the text and of a column of that name; every other column stays."""
     rest = [c for c in df.columns if c not in (text, ids)]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), f"`{ids}` array<int>"])
 
@@ -203,7 +211,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the decoded text of each row's ids added."""
+    """df with the decoded text of each row's ids added, in place of a column of that name."""
     rest = [c for c in df.columns if c != text]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), f"`{text}` string"])
 

@@ -14,8 +14,12 @@ no partner and is done. So only the others' shingles ever meet:
 
 Shingles and sets are compared by 64-bit hashes. Defined cases: a null or empty text, or one without
 words, has an empty set and no links; with fewer words than a shingle has, the whole sequence is the
-one shingle; rows with equal sets are linked; rows with equal ids are rows of their own that share the
-id's component; an empty table gives no rows.
+one shingle; rows with equal sets are linked; rows with equal ids are rows of their own, each with the component
+of its own text; a very long text is cut into shingles whole; other columns stay as they are in ``keep_one``,
+whatever their names; an empty table gives no rows.
+
+A chunk asks each range at most once and for each of its shingles at most once, so there are never more rows of
+requests than shingles, however many chunks and ranges there are.
 """
 
 from __future__ import annotations
@@ -296,17 +300,16 @@ def join_components(df: DataFrame, doc: str = "doc_id", text: str = "text", perc
 
 def keep_one(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """df with one row of each component: that of the smallest id, and of several with that id the smallest text hash. Texts without words all stay."""
-    found = checkpointed(join_components(df, doc, text, percent))
-    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(doc).isNull().alias("null"), F.col(doc).alias("d"), F.col("_key").alias("k"))).alias("m")).select("m.d", "m.k")
-    chosen = chosen.unionByName(found.where("n_shingles = 0").select(F.col(doc).alias("d"), F.col("_key").alias("k")).distinct())
-    keyed = df.withColumn("_text_key", F.xxhash64(text_of(text)))
-    kept = keyed.join(chosen, keyed[doc].eqNullSafe(chosen["d"]) & (keyed["_text_key"] == chosen["k"]), "left_semi")
-    if found.where("n_shingles > 0").groupBy(doc, "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+    found = checkpointed(join_components(df.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), "_doc", "_text", percent))
+    chosen = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("null"), F.col("_doc").alias("d"), F.col("_key").alias("k"))).alias("m")).select("m.d", "m.k")
+    chosen = chosen.unionByName(found.where("n_shingles = 0").select(F.col("_doc").alias("d"), F.col("_key").alias("k")).distinct())
+    # the row as it is, beside its id and its text's hash: no column's name can clash
+    keyed = df.select(F.col(doc).alias("_d"), F.xxhash64(text_of(text)).alias("_k"), (~text_of(text).rlike(r"[^\x20\x09-\x0D]")).alias("_blank"), F.struct("*").alias("_row"))
+    kept = keyed.join(chosen, keyed["_d"].eqNullSafe(chosen["d"]) & (keyed["_k"] == chosen["k"]), "left_semi")
+    if found.where("n_shingles > 0").groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         # a row that is there several times is linked with itself; rows without words aren't
-        words = keyed.columns
-        kept = kept.withColumn("_blank", ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-        kept = kept.where("not _blank").dropDuplicates([doc, "_text_key"]).unionByName(kept.where("_blank")).select(*words)
-    return kept.drop("_text_key")
+        kept = kept.where("not _blank").dropDuplicates(["_d", "_k"]).unionByName(kept.where("_blank"))
+    return kept.select("_row.*")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ SAMPLES = 66
 STEP = 3
 #: Bits of a sample that are kept, and of each uniform number.
 BITS, DRAW = 24, 14
-#: a is compared by its 64th root, whose exponential needs one polynomial and no range reduction.
-ROOTS = 6
+#: a is compared by its 16th root, whose exponential needs one polynomial and no range reduction.
+ROOTS = 4
 
 
 def fitted(f, low: float, high: float, degree: int) -> list[float]:
@@ -40,9 +40,9 @@ def fitted(f, low: float, high: float, degree: int) -> list[float]:
     return [float(x) for x in np.polynomial.Chebyshev.interpolate(f, degree, [low, high]).convert(kind=np.polynomial.Polynomial).coef]
 
 
-#: -ln(1 - v / 2) / v on (0, 1) with a relative error below 10^-4, and e^-y on (0, 3/4) below 10^-5.
+#: -ln(1 - v / 2) / v on (0, 1) with a relative error below 10^-4, and e^-y on (0, 5/2) below 10^-4.
 LOG = fitted(lambda v: -np.log1p(-v / 2) / v, 1e-6, 1.0, 3)
-EXP = fitted(lambda y: np.exp(-y), 0.0, 0.75, 4)
+EXP = fitted(lambda y: np.exp(-y), 0.0, 2.5, 6)
 
 
 def polynomial(coefficients: list[float], x: str) -> str:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalog, library
+from tessera.plans import catalog, library, textual
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,7 +30,7 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert library is not None and set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert library and textual and set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_filters_and_columns_reach_the_scan(spark):

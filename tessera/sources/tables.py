@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,23 +42,48 @@ def header(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(name, KINDS.get(kind, "string")) for name, _, kind in pairs]
 
 
+def after_header(spark: SparkSession, path: str) -> DataFrame:
+    """A file's lines but its first one, whatever the others say; blank ones are left out."""
+    read = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("escape", "")
+    return read.csv(path).where(F.trim("value") != "")
+
+
 def browse(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file (plain or gzip) by its header: split at every comma, blank lines skipped, short rows filled with zeros."""
     columns = header(spark, path)
-    head = ",".join(spark.read.text(path).limit(1).collect()[0][0].split(","))
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != head))
-    parts = F.split("value", ",", -1)
+    lines, parts = after_header(spark, path), F.split("value", ",", -1)
     return lines.select(*(cell(F.get(parts, F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(columns)))
 
 
+class Folder:
+    """A folder as a record: a folder's or a file's name is a field, read when it is asked for. Names are listed by the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, Path(path)
+
+    def names(self) -> list[str]:
+        """What the fields are called: folders, and files without their endings."""
+        found = (x.name if x.is_dir() and not x.name.endswith(".parquet") else next((x.name.removesuffix(e) for e in READERS if x.name.endswith(e)), None) for x in self.path.iterdir())
+        return sorted({n for n in found if n})
+
+    def member(self, name: str) -> Folder | DataFrame:
+        for ending, read in READERS.items():
+            if (at := self.path / (name + ending)).exists():
+                return read(self.spark, str(at))
+        if (self.path / name).is_dir():
+            return Folder(self.spark, str(self.path / name))
+        raise RelError(f"no file or folder '{name}' in {self.path}")
+
+
+READERS = {".csv": browse, ".csv.gz": browse, ".parquet": lambda spark, path: spark.read.parquet(path)}
+
+
 def strict(spark: SparkSession, path: str, schema: list[tuple[str, str]]) -> DataFrame:
     """A CSV file for a declared relation: columns by header name; a missing column, a short row or a bad int is an error."""
     names = [n for n, _ in header(spark, path)]
     if missing := [n for n, _ in schema if n not in names]:
         raise RelError(f"column '{missing[0]}' is not in {path}")
-    head = spark.read.text(path).limit(1).collect()[0][0]
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != head))
-    parts = F.split("value", ",", -1)
+    lines, parts = after_header(spark, path), F.split("value", ",", -1)
     whole = F.when(F.size(parts) < len(names), F.raise_error(F.concat(F.lit("short row: "), F.col("value")))).otherwise(parts)
 
     def read(name: str, kind: str) -> Column:

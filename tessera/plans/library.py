@@ -548,7 +548,6 @@ def q_lib_variant(spark, d):
 @compared("n_nationkey unset planned parsed", "SELECT n_nationkey, n_name, 'wide' AS shown, 'a=1;mode=wide' AS shown_all, 0 AS unset, 'it,nation,twice' AS env, 'nation' AS cleared, 1 AS planned, 1 AS parsed FROM nation WHERE n_regionkey * 2 > 3")
 def q_lib_session(spark, d):
     """A session's functions: properties, the environment, a file of statements, the plan of its query."""
-    import tempfile
     from pathlib import Path
 
     from tessera.operators.rel import Rel
@@ -559,10 +558,7 @@ def q_lib_session(spark, d):
     s.set("a", 1)
     s.set("gone", 2)
     s.unset("gone")
-    with tempfile.TemporaryDirectory() as folder:  # read by the driver alone
-        path = Path(folder, "statements")
-        path.write_text("fun twice x = x * 2;\nfrom n in nation where twice n.n_regionkey > 3 yield {n.n_nationkey, n.n_name};")
-        rows = s.use(str(path)).result()
+    rows = s.use(str(Path(__file__).with_name("statements.sml"))).result()
     planned, env = "Scan parquet" in s.plan(), ",".join(s.names())
     parsed = "query" in s.parse_tree("from n in nation;")
     s.clear_env()

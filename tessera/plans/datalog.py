@@ -34,6 +34,17 @@ class DatalogError(RelError):
     pass
 
 
+#: What is said of a program that isn't valid.
+NOT_DECLARED = "Relation '{}' used in {} but not declared"
+OTHER_ARITY = "Atom {}/{} does not match declaration {}/{}"
+OTHER_TYPE = "Type mismatch in {} {}(...): expected {}, got {} for parameter {}"
+NO_CONSTANT = "Argument in fact is not constant: {}"
+UNSAFE_HEAD = "Rule is unsafe. Variable '{}' in head does not appear in positive body atom"
+UNSAFE_PART = "Rule is unsafe. Variable '{}' in {} does not appear in positive body atom"
+NOT_STRATIFIED = "Program is not stratified. Negation cycle detected involving relation: {}"
+INVALID = "Compilation error: {}"
+
+
 @dataclass(frozen=True)
 class Var:
     name: str
@@ -269,20 +280,30 @@ def type_of(x, types: dict[str, str]) -> str:
 
 def check(p: Program) -> None:
     """Declarations, arity, types, safety and stratification."""
-    for a in [*p.facts, *(r.head for r in p.rules), *(a for r in p.rules for a in r.body if isinstance(a, Atom))]:
+    def fits(a: Atom, place: str) -> None:
         if a.name not in p.decls:
-            raise DatalogError(f"relation '{a.name}' is not declared")
-        if len(a.args) != len(p.decls[a.name]):
-            raise DatalogError(f"relation '{a.name}' has {len(p.decls[a.name])} columns, not {len(a.args)}")
-    for n in [*p.outputs, *p.inputs]:
-        if n not in p.decls:
-            raise DatalogError(f"relation '{n}' is not declared")
+            raise DatalogError(NOT_DECLARED.format(a.name, place))
+        declared = p.decls[a.name]
+        if len(a.args) != len(declared):
+            raise DatalogError(OTHER_ARITY.format(a.name, len(a.args), a.name, len(declared)))
+        for x, (column, kind) in zip(a.args, declared, strict=True):
+            if isinstance(x, Const) and type_of(x, {}) != kind:
+                raise DatalogError(OTHER_TYPE.format(place, a.name, kind, type_of(x, {}), column))
+
+    for names, place in ((p.inputs, ".input"), (p.outputs, ".output")):
+        for n in names:
+            if n not in p.decls:
+                raise DatalogError(NOT_DECLARED.format(n, place))
     for f in p.facts:
-        if variables(f) or any(isinstance(x, Var) for x in f.args):
-            raise DatalogError(f"fact of '{f.name}' has a variable")
-        for x, (column, kind) in zip(f.args, p.decls[f.name], strict=True):
-            if type_of(x, {}) != kind:
-                raise DatalogError(f"column '{column}' of '{f.name}' is {kind}")
+        fits(f, "fact")
+        for x in f.args:
+            if not isinstance(x, Const):
+                raise DatalogError(NO_CONSTANT.format(x.name if isinstance(x, Var) else x))
+    for r in p.rules:
+        fits(r.head, "rule head")
+        for a in r.body:
+            if isinstance(a, Atom):
+                fits(a, "rule body")
     group_of = {n: i for i, g in enumerate(strata(p)) for n in g}
     for r in p.rules:
         types: dict[str, str] = {}
@@ -306,7 +327,7 @@ def check(p: Program) -> None:
             bound |= more
         for part, what in [(r.head, "head"), *((a, "negated atom") for a in r.body if isinstance(a, Atom) and a.negated), *((c, "comparison") for c in r.body if isinstance(c, Compare))]:
             if free := sorted(variables(part) - bound):
-                raise DatalogError(f"variable '{free[0]}' in {what} is not bound by a positive atom")
+                raise DatalogError(UNSAFE_HEAD.format(free[0]) if what == "head" else UNSAFE_PART.format(free[0], what))
         if any(isinstance(x, Var) and x.name == "_" for x in r.head.args):
             raise DatalogError("'_' in head")
         for a in [r.head, *(a for a in r.body if isinstance(a, Atom))]:
@@ -317,7 +338,7 @@ def check(p: Program) -> None:
             if isinstance(c, Compare) and type_of(c.left, types) != type_of(c.right, types):
                 raise DatalogError("comparison of an int and a string")
             if isinstance(c, Atom) and c.negated and group_of[c.name] == group_of[r.head.name]:
-                raise DatalogError(f"negation of '{c.name}' in its own recursion: the program is not stratified")
+                raise DatalogError(NOT_STRATIFIED.format(r.head.name))
 
 
 def expression(x) -> Column:
@@ -460,7 +481,7 @@ def validate(text: str) -> str:
         p = parse(text)
         check(p)
     except DatalogError as e:
-        return str(e)
+        return INVALID.format(e)
     if not p.outputs:
         return "unit"
     return "{" + ", ".join(f"{n}:{{{', '.join(f'{c}:{k}' for c, k in sorted(p.decls[n]))}}} list" for n in sorted(p.outputs)) + "}"

@@ -1,12 +1,17 @@
 """Operator 10: document fingerprints by consistent weighted sampling, by SQL functions alone.
 
-A text's weighted terms are its pairs of neighbouring words with their counts. For each of K samples
-a term draws r and c from Gamma(2, 1) and b from U(0, 1), all from hashes of the term and the sample's
-number; t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r. The term with the smallest
-a, with its t, is the sample. Two texts agree in a sample with the probability of their generalised
-Jaccard similarity, sum of smaller weights over sum of larger ones.
+A text's weighted terms are its pairs of neighbouring words with their counts. As weights are whole numbers, a
+term of weight w is w elements (term, 1) to (term, w), and a sample is one element of a text, each as likely as
+any other: a term is drawn in proportion to its weight, and what two texts both hold is drawn from both by the
+same rule. Two texts agree in a sample with the probability of their generalised Jaccard similarity, sum of
+smaller weights over sum of larger ones.
 
-Terms are exploded inside a stage and reduced to K minima before anything is shuffled.
+Each element visits all K samples, one in each round, in an order of its own. A sample is the element that visits
+it in the earliest round, the one with the least hash if there are several. So later rounds change nothing once
+each sample was visited, and a text of many elements needs one or two of K rounds: the work is that of its length
+and K ln K, not their product.
+
+Nothing is exploded; a row's fingerprints are made inside the row.
 
 Defined cases: a null text is empty; a text of one word has that word as its term; one without words
 has no samples, is like another without words (1) and unlike any other (0). Rows with equal ids are
@@ -18,157 +23,90 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, once, table, text_of
 from tessera.llm.quality import words
 
-#: A likeness has a standard error of 0.062 at 0.5 and 0.049 at 0.8.
+#: A likeness has a standard error of at most 0.062 at 0.5 and 0.049 at 0.8.
 SAMPLES = 66
-#: Samples computed from one row: more would make a method of over 8,000 bytes, which the JVM doesn't compile.
-STEP = 3
-#: Bits of a sample that are kept, and of each uniform number.
-BITS, DRAW = 24, 14
-#: a is compared by its 16th root, whose exponential needs one polynomial and no range reduction.
-ROOTS = 4
-
+#: Bits of a sample that are kept.
+BITS = 24
+#: One text in e^7 needs more rounds than it is given first.
+MARGIN = 7
 
-def fitted(f, low: float, high: float, degree: int) -> list[float]:
-    """Coefficients, from the constant on, of the polynomial through f at Chebyshev's points."""
-    return [float(x) for x in np.polynomial.Chebyshev.interpolate(f, degree, [low, high]).convert(kind=np.polynomial.Polynomial).coef]
 
+def slots_of(samples: int) -> int:
+    """The smallest prime that isn't below samples: steps of any size visit all of so many slots."""
+    n = max(samples, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
 
-#: -ln(1 - v / 2) / v on (0, 1) with a relative error below 10^-4, and e^-y on (0, 5/2) below 10^-4.
-LOG = fitted(lambda v: -np.log1p(-v / 2) / v, 1e-6, 1.0, 3)
-EXP = fitted(lambda y: np.exp(-y), 0.0, 2.5, 6)
 
+def terms(text: Column) -> Column:
+    """Hashes of a text's terms, repeats included."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
+    return once(words(text), lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
 
-def polynomial(coefficients: list[float], x: str) -> str:
-    out = f"{coefficients[-1]!r}D"
-    for c in reversed(coefficients[:-1]):
-        out = f"({out} * {x} + {c!r}D)"
-    return out.replace("+ -", "- ")
 
+def elements(s: Column) -> Column:
+    """Different hashes for the repeats in a sorted array of terms: a term's own for the first, one of term and number for each other."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("h"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).alias("w")))
+    others = F.transform(F.filter(once(starts, runs), lambda x: x["w"] > 1), lambda x: F.transform(F.sequence(F.lit(2), x["w"]), lambda j: F.xxhash64(x["h"], j)))
+    first = F.array_distinct(s)
+    return F.when(F.size(first) == F.size(s), s).otherwise(F.concat(first, F.flatten(others)))
 
-def constants(n: int, seed: int) -> list[int]:
-    return [int(x) for x in np.random.default_rng(seed).integers(1, (1 << 63) - 1, n)]
 
+def enough(n: Column, samples: int) -> Column:
+    """Rounds after which n elements have visited all samples, but for one text in e^MARGIN; never more than visit all for certain."""
+    slots = slots_of(samples)
+    return F.least(F.lit(slots), F.ceil(F.lit(slots * (math.log(samples) + MARGIN)) / F.greatest(n, F.lit(1))).cast("int"))
 
-def blocks_of(samples: int) -> list[int]:
-    """A number for each STEP samples; its last 16 bits count them."""
-    return [c >> 16 << 16 | i for i, c in enumerate(constants(samples // STEP, 29))]
 
+def visits(found: Column, samples: int, rounds: Column) -> Column:
+    """A number for each element and round, of which a sample's least is the sample: slot, round, hash of both.
 
-def sampled(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """Of _h (a term's hash), _lw (its weight's logarithm) and _c (a block): kept and _v0, _v1, ..., of which the least is a sample.
-
-    An exponential number is drawn from bits: a count of zeros in them, times ln 2, and -ln(1 - v / 2) of a uniform
-    v. With e and f exponential, r = e + f is Gamma(2, 1) and b = e / r is uniform and independent of it, so that
-    t = floor((ln w + e) / r) and ln a = ln c - r t - f. Roots and polynomials stand for logarithms, for which the JVM
-    leaves compiled code. What a step reads several times is a column of the step before, so each is computed once.
+    An element visits slot (a + round b) mod p, a and b its own, p prime: over all rounds every slot once, any two
+    slots in rounds that are any two different ones. Slots beyond the samples are passed over.
     """
-    each, mask, ln2 = range(STEP), (1 << DRAW) - 1, math.log(2)
-    bits = lambda x, i: f"(shiftrightunsigned({x}, {DRAW * i}) & {mask}L)"
-    ended = lambda x, i: f"({bits(x, i)} | {1 << DRAW}L)"
-    unit = lambda x, i: f"(CAST({bits(x, i)} AS DOUBLE) + 0.5D)"
-    scaled = [c / (1 << DRAW) ** (i + 1) for i, c in enumerate(LOG)]
-    minus_log = lambda m: f"{m} * {polynomial(scaled, m)}"
-    zeros = lambda g, n: f"(CAST(bit_count({g} ^ ({g} - 1L)) AS DOUBLE) * {ln2!r}D - {n * ln2!r}D)"  # noqa: E731  the count is one more
-
-    def pair(y: str) -> str:
-        """The zeros before the second one of twice the bits are those of two exponential numbers."""
-        both = f"(({y} & {(1 << 2 * DRAW) - 1}L) | {3 << 2 * DRAW}L)"
-        return f"({both} & ({both} - 1L))"
-
-    def root(c: str) -> str:
-        for _ in range(ROOTS):
-            c = f"sqrt({c})"
-        return c
-
-    first, second = constants(STEP, 31), constants(STEP, 37)
-
-    def step(df: DataFrame, carried: list[str], make) -> DataFrame:
-        return df.selectExpr(*carried, *(f"{e} AS _{n}{k}" if e != f"_{n}{k}" else e for k in each for n, e in make(k).items()))
-
-    rest = [*kept, "_lw"]
-    drawn = step(rows, rest, lambda k: {"x": f"xxhash64(_h ^ _c ^ {first[k]}L)", "y": f"xxhash64(_h ^ _c ^ {second[k]}L)"})
-    parts = step(
-        drawn,
-        rest,
-        lambda k: {"x": f"_x{k}", "m": unit(f"_x{k}", 1), "n": unit(f"_x{k}", 3), "o": unit(f"_y{k}", 2), "p": unit(f"_y{k}", 3), "g": ended(f"_x{k}", 0), "i": ended(f"_x{k}", 2), "j": pair(f"_y{k}")},
-    )
-    numbers = step(
-        parts,
-        rest,
-        lambda k: {"x": f"_x{k}", "e": f"{zeros(f'_g{k}', 1)} + {minus_log(f'_m{k}')}", "f": f"{zeros(f'_i{k}', 1)} + {minus_log(f'_n{k}')}", "c": root(f"{zeros(f'_j{k}', 2)} + {minus_log(f'_o{k}')} + {minus_log(f'_p{k}')}")},
-    )
-    floors = step(numbers, kept, lambda k: {"x": f"_x{k}", "r": f"_e{k} + _f{k}", "f": f"_f{k}", "c": f"_c{k}", "t": f"floor((_lw + _e{k}) / (_e{k} + _f{k}))"})
-    exponents = step(floors, kept, lambda k: {"c": f"_c{k}", "s": f"(_r{k} * CAST(_t{k} AS DOUBLE) + _f{k}) * {1 / (1 << ROOTS)!r}D", "l": f"xxhash64(_x{k} ^ _t{k}) & {(1 << BITS) - 1}L"})
-    return step(exponents, kept, lambda k: {"v": f"shiftleft(floor(_c{k} * {polynomial(EXP, f'_s{k}')} * {float(1 << 36)!r}D), {BITS}) | _l{k}"})
-
+    slots = slots_of(samples)
+    width = slots.bit_length()
 
-def terms(text: Column, side: int) -> Column:
-    """Hashes of a text's terms, repeats included; the lowest bit tells which of two texts they are from."""
-    mark = lambda h: F.shiftleft(F.shiftright(h, 1), 1) + side
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: mark(F.xxhash64(F.get(w, i), F.get(w, i + 1))))
-    return once(words(text), lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(F.transform(w, lambda x: mark(F.xxhash64(x)))))
+    def visit(x: Column, i: Column) -> Column:
+        slot = (F.shiftrightunsigned(x, 2) + i * (F.shiftrightunsigned(x, 33) % (slots - 1) + 1)) % slots
+        return F.shiftleft(F.coalesce(slot, F.lit(0).cast("long")), 63 - width).bitwiseOR(F.shiftleft(i, 63 - 2 * width)).bitwiseOR(F.xxhash64(x, i).bitwiseAND((1 << 63 - 2 * width) - 1))
 
+    numbers = F.sequence(F.lit(0).cast("long"), rounds.cast("long") - 1)
+    return F.flatten(F.transform(numbers, lambda i: F.transform(found, lambda x: visit(x, i))))
 
-def weighted(first: Column, second: Column) -> Column:
-    """array of struct<h, w, of>: the terms of two texts with their counts; of is 1, 2, or 3 where both have the term as often.
-
-    One sort of all hashes, and two passes over neighbours.
-    """
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
-        return once(starts, lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("h"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).alias("w"))))
-
-    def joined(r: Column) -> Column:
-        def of(x: Column, k: Column) -> Column:
-            after, before = F.get(r, k + 1), F.get(r, k - 1)
-            is_second = x["h"].bitwiseAND(1) == 1
-            same_after = (after["h"] == x["h"] + 1) & (after["w"] == x["w"])
-            same_before = (before["h"] == x["h"] - 1) & (before["w"] == x["w"])
-            return F.when(is_second, F.when(same_before, 0).otherwise(2)).otherwise(F.when(same_after, 3).otherwise(1))
-
-        return F.filter(F.transform(r, lambda x, k: F.struct(F.shiftright(x["h"], 1).alias("h"), x["w"].alias("w"), of(x, k).alias("of"))), lambda x: x["of"] > 0)
-
-    return once(F.sort_array(F.concat(first, second)), lambda s: once(runs(s), joined))
+def least(v: Column, samples: int) -> Column:
+    """The least of each sample's numbers, of all in their order."""
+    slot = lambda x: F.shiftright(x, 63 - slots_of(samples).bit_length())
+    return F.filter(v, lambda x, i: (slot(x) < samples) & ((i == 0) | (slot(x) != slot(F.get(v, i - 1)))))
 
 
 def fingerprints(df: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:
-    """A row for each distinct keys: _n rows, and the fingerprints of the texts first and second, binary, three bytes a sample.
+    """For each row its keys and the fingerprints of the texts first and second, binary, three bytes a sample.
 
-    The keys must determine both texts. What both have in common is sampled once. Where df's rows are already dealt
-    by some of the keys, nothing is shuffled.
+    A step's arrays are columns, read more than once by the step after, so that each is computed once and sorted by
+    compiled code.
     """
-    listed = df.select(*keys, weighted(terms(F.col(first), 0), terms(F.col(second), 1)).alias("_terms"))
-    rows = listed.select(*keys, F.posexplode_outer("_terms").alias("_i", "_x")).select(
-        *keys, F.coalesce("_i", F.lit(0)).alias("_i"), F.coalesce("_x.h", F.lit(0).cast("long")).alias("_h"), F.coalesce(F.ln(F.col("_x.w").cast("double")), F.lit(0.0)).alias("_lw"), F.coalesce("_x.of", F.lit(0)).alias("_of")
-    )
-    blocks = blocks_of(samples)
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, blocks))).alias("_c"))
-    # a term of both texts is a group's of its own, so that every value is compared once
-    values = sampled(rows, [*keys, "_c", "_of", "_i"])
-    least = values.groupBy(*keys, "_c", "_of").agg(F.sum(F.when(F.col("_i") == 0, 1).otherwise(0)).alias("_n"), *(F.min(f"_v{k}").alias(f"_v{k}") for k in range(STEP)))
-    part = F.struct(F.col("_c").bitwiseAND(0xFFFF).cast("int").alias("block"), F.col("_of").alias("of"), F.array(*(f"_v{k}" for k in range(STEP))).alias("v"))
-    counted = F.when(F.col("_c") == blocks[0], F.col("_n")).otherwise(0)
-    parts = least.select(*keys, counted.alias("_n"), part.alias("_part")).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sort_array(F.collect_list("_part")).alias("_parts"))
+    texts, at = (first, second), range(2)
+    sorted_terms = df.select(*keys, *(F.sort_array(terms(F.col(c))).alias(f"_s{k}") for k, c in enumerate(texts)))
+    found = sorted_terms.select(*keys, *(elements(F.col(f"_s{k}")).alias(f"_e{k}") for k in at))
+    seen = found.select(*keys, *(f"_e{k}" for k in at), *(F.sort_array(visits(F.col(f"_e{k}"), samples, enough(F.size(f"_e{k}"), samples))).alias(f"_v{k}") for k in at))
+    drawn = seen.select(*keys, *(f"_e{k}" for k in at), *(least(F.col(f"_v{k}"), samples).alias(f"_d{k}") for k in at))
 
-    def side(bit: int) -> Column:
-        """In each block the smaller of what the text has alone and what both have: neighbours in the order of blocks."""
+    def written(k: int) -> Column:
+        every = once(F.sort_array(visits(F.col(f"_e{k}"), samples, F.lit(slots_of(samples)))), lambda v: least(v, samples))
+        whole = F.when(F.size(f"_d{k}") == samples, F.col(f"_d{k}")).otherwise(every)
+        return F.unhex(F.array_join(F.transform(whole, lambda x: F.lpad(F.hex(x.bitwiseAND((1 << BITS) - 1)), BITS // 4, "0")), ""))
 
-        def written(own: Column) -> Column:
-            smaller = lambda p, i: F.when(F.get(own, i + 1)["block"] == p["block"], F.zip_with(p["v"], F.get(own, i + 1)["v"], lambda x, y: F.least(x, y))).otherwise(p["v"])
-            firsts = F.filter(F.transform(own, lambda p, i: F.when((i > 0) & (F.get(own, i - 1)["block"] == p["block"]), F.lit(None)).otherwise(smaller(p, i))), lambda v: v.isNotNull())
-            return F.unhex(F.array_join(F.transform(F.flatten(firsts), lambda x: F.lpad(F.hex(x.bitwiseAND((1 << BITS) - 1)), BITS // 4, "0")), ""))
-
-        return once(F.filter("_parts", lambda p: p["of"].bitwiseAND(bit) > 0), lambda own: F.when(F.size(own) > 0, written(own)).otherwise(F.lit(b"")))
-
-    return parts.select(*keys, "_n", side(1).alias(first), side(2).alias(second))
+    return drawn.select(*keys, *(written(k).alias(c) for k, c in enumerate(texts)))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -236,5 +174,4 @@ def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
         written_out(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+    )

@@ -128,3 +128,51 @@ def test_op10_error_of_the_production_fingerprints(spark):
     found = fingerprints(df, ["k"], "a", "b").select("k", likeness(F.col("a"), F.col("b"))).collect()
     assert len(found) == len(pairs)
     assert np.sqrt(np.mean([(x - true[k]) ** 2 for k, x in found])) < 0.08
+
+
+def test_op10_makes_no_rows_of_terms(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import fingerprints as op10
+
+    df = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(n)), "") for k, n in enumerate([1, 30, 900, 5000])], "k int, a string, b string")
+    # terms were exploded for each block of samples, 22 rows a term
+    assert "Generate" not in op10.fingerprints(df, ["k"], "a", "b")._jdf.queryExecution().executedPlan().toString()
+    e = op10.elements(F.sort_array(op10.terms(F.col("a"))))
+    n, made = zip(*df.select(F.size(e), F.size(op10.visits(e, op10.SAMPLES, op10.enough(F.size(e), op10.SAMPLES)))).collect(), strict=True)
+    assert n == (1, 29, 899, 4999)
+    assert made == (67, 29 * 26, 899, 4999)
+
+
+def test_op10_rounds_left_out_change_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import fingerprints as op10
+
+    r = random.Random(5)
+    texts = [(k, *(" ".join(f"w{r.randrange(m)}" for _ in range(n)) for n, m in ((k % 60, 5), (20 * k, 300)))) for k in range(60)]
+    df = spark.createDataFrame(texts, "k int, a string, b string")
+    found = [r[1:] for r in op10.fingerprints(df, ["k"], "a", "b").sort("k").collect()]
+    for limit in (1, op10.slots_of(op10.SAMPLES)):  # too few, so that all come after; all at once
+        monkeypatch.setattr(op10, "enough", lambda n, samples, limit=limit: F.lit(limit))
+        assert [r[1:] for r in op10.fingerprints(df, ["k"], "a", "b").sort("k").collect()] == found
+    assert {len(x) for row in found for x in row} == {0, 3 * op10.SAMPLES}
+
+
+def test_op10_short_texts_are_judged_without_bias(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.fingerprints import fingerprints, likeness
+
+    r = random.Random(7)
+    pairs, true = [], {}
+    for k in range(150):
+        first = [f"w{r.randrange(4)}" for _ in range(r.randrange(8, 40))]
+        second = first[r.randrange(8) :] + [f"w{r.randrange(5)}" for _ in range(r.randrange(8))]
+        grams = [Counter(zip(w, w[1:])) for w in (first, second)]
+        true[k] = sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values())
+        pairs.append((k, " ".join(first), " ".join(second)))
+    df = spark.createDataFrame(pairs, "k int, a string, b string")
+    errors = [x - true[k] for k, x in fingerprints(df, ["k"], "a", "b").select("k", likeness(F.col("a"), F.col("b"))).collect()]
+    assert len(errors) == len(pairs)
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.065

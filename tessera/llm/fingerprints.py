@@ -53,11 +53,13 @@ def terms(text: Column) -> Column:
 
 def elements(s: Column) -> Column:
     """Different hashes for the repeats in a sorted array of terms: a term's own for the first, one of term and number for each other."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = lambda p: F.transform(p, lambda at, k: F.struct(F.get(s, at).alias("h"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).alias("w")))
-    others = F.transform(F.filter(once(starts, runs), lambda x: x["w"] > 1), lambda x: F.transform(F.sequence(F.lit(2), x["w"]), lambda j: F.xxhash64(x["h"], j)))
-    first = F.array_distinct(s)
-    return F.when(F.size(first) == F.size(s), s).otherwise(F.concat(first, F.flatten(others)))
+
+    def others(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (F.get(r, i) != F.get(r, i - 1)))
+        runs = once(starts, lambda p: F.transform(p, lambda at, k: F.struct(F.get(r, at).alias("h"), (F.coalesce(F.get(p, k + 1), F.size(r)) - at).alias("n"))))
+        return F.when(F.size(r) == 0, r).otherwise(F.flatten(F.transform(runs, lambda x: F.transform(F.sequence(F.lit(2), x["n"] + 1), lambda j: F.xxhash64(x["h"], j)))))
+
+    return F.concat(F.array_distinct(s), once(F.filter(s, lambda x, i: x == F.get(s, i - 1)), others))
 
 
 def enough(n: Column, samples: int) -> Column:
@@ -74,19 +76,22 @@ def visits(found: Column, samples: int, rounds: Column) -> Column:
     """
     slots = slots_of(samples)
     width = slots.bit_length()
+    a = lambda x: F.shiftrightunsigned(x, 2)
+    b = lambda x: F.shiftrightunsigned(x, 33) % (slots - 1) + 1
+    first = lambda place: F.shiftleft(F.coalesce(place % slots, F.lit(0).cast("long")), 63 - width)
+    last = lambda h: h.bitwiseAND((1 << 63 - 2 * width) - 1)
 
-    def visit(x: Column, i: Column) -> Column:
-        slot = (F.shiftrightunsigned(x, 2) + i * (F.shiftrightunsigned(x, 33) % (slots - 1) + 1)) % slots
-        return F.shiftleft(F.coalesce(slot, F.lit(0).cast("long")), 63 - width).bitwiseOR(F.shiftleft(i, 63 - 2 * width)).bitwiseOR(F.xxhash64(x, i).bitwiseAND((1 << 63 - 2 * width) - 1))
-
-    numbers = F.sequence(F.lit(0).cast("long"), rounds.cast("long") - 1)
-    return F.flatten(F.transform(numbers, lambda i: F.transform(found, lambda x: visit(x, i))))
+    at_once = F.transform(found, lambda x: first(a(x)).bitwiseOR(last(F.xxhash64(x))))
+    numbers = F.sequence(F.lit(1).cast("long"), rounds.cast("long") - 1)
+    one = lambda i, shifted: F.transform(found, lambda x: first(a(x) + i * b(x)).bitwiseOR(shifted).bitwiseOR(last(F.xxhash64(x, i))))
+    later = F.flatten(F.transform(numbers, lambda i: once(F.shiftleft(i, 63 - 2 * width), lambda shifted: one(i, shifted))))
+    return F.when(rounds > 1, F.concat(at_once, later)).otherwise(at_once)
 
 
 def least(v: Column, samples: int) -> Column:
-    """The least of each sample's numbers, of all in their order."""
-    slot = lambda x: F.shiftright(x, 63 - slots_of(samples).bit_length())
-    return F.filter(v, lambda x, i: (slot(x) < samples) & ((i == 0) | (slot(x) != slot(F.get(v, i - 1)))))
+    """The least of each sample's numbers, of all in their order: those whose slot, the highest bits, isn't that of the one before."""
+    slot = 1 << 63 - slots_of(samples).bit_length()
+    return F.filter(v, lambda x, i: F.coalesce(x.bitwiseXOR(F.get(v, i - 1)) >= slot, F.lit(True)) & (x < samples * slot))
 
 
 def fingerprints(df: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:

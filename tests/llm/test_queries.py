@@ -176,3 +176,13 @@ def test_op10_short_texts_are_judged_without_bias(spark):
     errors = [x - true[k] for k, x in fingerprints(df, ["k"], "a", "b").select("k", likeness(F.col("a"), F.col("b"))).collect()]
     assert len(errors) == len(pairs)
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.065
+
+
+def test_op10_likenesses_are_the_shares_of_equal_samples(spark):
+    found = {r[0]: r for r in rows(spark, "op10", "/root/testdata/sf0.001")}
+    ids = sorted(found, reverse=True)
+    share = lambda a, b: sum(a[i : i + 6] == b[i : i + 6] for i in range(0, len(a), 6)) * 6 / len(a)
+    for d, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        if "-" not in found[d][3] + found[d][4] + found[after][3]:
+            assert found[d][5] == pytest.approx(share(found[d][3], found[d][4]))
+            assert found[d][6] == pytest.approx(share(found[d][3], found[after][3]))

@@ -533,9 +533,12 @@ class Word:
     def scan(radix: str, s) -> Column:
         digits = {"BIN": "[01]", "OCT": "[0-7]", "DEC": "[0-9]", "HEX": "[0-9A-Fa-f]"}[radix]
         pattern = SPACE + rf"(?:0w[xX]?)?({digits}+)"
-        found, text = F.regexp_extract(s, pattern, 0), F.regexp_extract(s, pattern, 1)
-        value = F.conv(text, RADIX[radix], 10).try_cast("decimal(38,0)")
-        return F.when(text != "", F.struct(Word.narrow(value).alias("_1"), F.substring(s, F.char_length(found) + 1, F.char_length(s)).alias("_2")))
+
+        def read(text: Column) -> Column:
+            value = F.conv(text, RADIX[radix], 10).try_cast("decimal(38,0)")
+            return F.when(text != "", F.struct(Word.narrow(value).alias("_1"), F.regexp_replace(s, pattern, "").alias("_2")))
+
+        return bound(F.regexp_extract(s, pattern, 1), read)
 
     @staticmethod
     def from_string(s) -> Column:

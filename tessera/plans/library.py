@@ -162,8 +162,9 @@ SIGNED = lambda e, n: f'CAST(CASE WHEN ({e}) % 18446744073709551616 >= 922337203
     + " FROM u"
 )
 def q_lib_word(spark, d):
-    key = F.col("o_orderkey")
-    a, b = key * 2654435761 - F.col("o_custkey") * 40503 * 65536 * 4096, F.col("o_custkey") * 97 - 5000
+    key, wide = F.col("o_orderkey"), lambda n: F.col(n).cast("decimal(19,0)")
+    # words wrap: from o_custkey 848326 on, the product leaves a bigint
+    a, b = Word.narrow((wide("o_orderkey") * F.lit(2654435761) - wide("o_custkey") * F.lit(40503 * 65536 * 4096)).cast("decimal(38,0)")), F.col("o_custkey") * 97 - 5000
     t = parquet(spark, d, "orders").select(key, a.alias("a"), F.when(b == 0, 1).otherwise(b).alias("b"), (key % 70).alias("k"))
     a, b, k = F.col("a"), F.col("b"), F.col("k")
     two = {n: getattr(Word, n)(a, b) for n in ("add", "sub", "mul", "div", "mod", "min", "max", "lt", "le", "gt", "ge", "compare", "orb")}

@@ -174,3 +174,18 @@ def test_combinators():
     assert Fn.repeat(3, lambda x: x * 2)(1) == 8 and Fn.o(lambda x: x + 1, lambda x: x * 2)(5) == 11
     assert Fn.curry(lambda p: p[0] - p[1])(5)(3) == 2 and Fn.uncurry(lambda x: lambda y: x - y)((5, 3)) == 2
     assert Fn.flip(lambda p: p[0] - p[1])((5, 3)) == -2 and Fn.const(1)(2) == 1 and General.before(1, None) == 1
+
+
+def test_words_of_large_keys_wrap(spark, tmp_path):
+    """From o_custkey 848326 on a product leaves 64 bits."""
+    pairs = [(149_999, 848_325), (7, 848_326), (8_999_999, 899_999), (53_999_999, 5_399_999)]
+    spark.createDataFrame(pairs, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    from tessera.plans.library import q_lib_word
+
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    found = {r.o_orderkey: r for r in q_lib_word(spark, str(tmp_path)).collect()}
+    for key, customer in pairs:
+        a, b = (key * 2654435761 - customer * 40503 * 65536 * 4096) % 2**64, customer * 97 - 5000
+        r = found[key]
+        assert (r.to_large, r.add, r.sub, r.mul, r.div, r.mod) == tuple(map(signed, (a, a + b, a - b, a * b, a // b, a % b)))
+        assert (r.scanned, r.rest, r.from_string) == (key, "z", key)

@@ -112,19 +112,26 @@ class Int:
     def from_string(s) -> Column:
         """The number that a string begins with after white space, or missing; Overflow if it is no int."""
         digits = F.regexp_extract(s, SPACE + r"([~+-]?[0-9]+)", 1)
-        value = F.try_cast(F.replace(digits, F.lit("~"), F.lit("-")), "decimal(38,0)") if hasattr(F, "try_cast") else F.replace(digits, F.lit("~"), F.lit("-")).try_cast("decimal(38,0)")
-        return F.when(digits != "", raises("Overflow", F.coalesce(value.between(Int.min_int, Int.max_int), F.lit(False)), value.try_cast("int")))
+        return F.when(digits != "", Int.read(F.replace(digits, F.lit("~"), F.lit("-"))))
+
+    @staticmethod
+    def read(text: Column) -> Column:
+        """The int that a text is, which is computed once; Overflow if it is none."""
+        return F.coalesce(text.try_cast("int"), F.raise_error(F.lit("Overflow")).cast("int"))
 
     @staticmethod
     def scan(radix: str, s) -> Column:
         """(value, rest) of what a string begins with, or missing."""
         digits = {"BIN": "[01]", "OCT": "[0-7]", "DEC": "[0-9]", "HEX": "[0-9A-Fa-f]"}[radix]
-        pattern = SPACE + rf"([~+-]?)({'(?:0[xX])?' if radix == 'HEX' else ''}{digits}+)"
-        found, text = F.regexp_extract(s, pattern, 0), F.regexp_extract(s, pattern, 2)
-        magnitude = F.conv(F.regexp_replace(text, "^0[xX]", ""), RADIX[radix], 10).try_cast("decimal(38,0)")
-        value = F.when(F.regexp_extract(s, pattern, 1).isin("~", "-"), -magnitude).otherwise(magnitude)
-        ok = raises("Overflow", value.between(Int.min_int, Int.max_int), value.try_cast("int"))
-        return F.when(text != "", F.struct(ok.alias("_1"), F.substring(s, F.char_length(found) + 1, F.char_length(s)).alias("_2")))
+        pattern = SPACE + rf"([~+-]?{'(?:0[xX])?' if radix == 'HEX' else ''}{digits}+)"
+
+        def read(text: Column) -> Column:
+            magnitude = F.conv(F.regexp_replace(text, "^[~+-]?(?:0[xX])?" if radix == "HEX" else "^[~+-]", ""), RADIX[radix], 10)
+            value = Int.read(F.concat(F.when(F.left(text, F.lit(1)).isin("~", "-"), "-").otherwise(""), magnitude))
+            return F.when(text != "", F.struct(value.alias("_1"), F.regexp_replace(s, pattern, "").alias("_2")))
+
+        # a bound value also keeps the columns' code in methods small enough for the JVM to compile
+        return bound(F.regexp_extract(s, pattern, 1), read)
 
 
 class Real:

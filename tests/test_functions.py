@@ -200,3 +200,10 @@ def test_long_strings_are_escaped_by_runs(spark):
         shown, read = one.select(to(F.col("s")), back(to(F.col("s")))).first()
         assert shown == long + '\\"\\n' + long + "\\\\" and read == hard
     assert one.select(String.scan(F.concat(String.to_string(F.col("s")), F.lit("\\q"))).alias("x")).select("x._2").first()[0] == "\\q"
+
+
+def test_an_int_is_searched_for_once(spark):
+    df = spark.createDataFrame([("7f",)], "s string")
+    for scanned in (Int.scan("HEX", F.col("s"))["_1"], Int.from_string(F.col("s"))):
+        plan = df.select(scanned.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract") <= 2 and plan.count("as int") <= 2
